@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Rows of an Arrow batch. Texts are long, so batches are kept far below Spark's default of 10,000 rows.
 BATCH_ROWS = 512
 
@@ -20,7 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def session(df: DataFrame) -> SparkSession:
-    spark = df.sparkSession
+    spark = ship(df.sparkSession)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
@@ -67,7 +69,7 @@ def _remove(jvm, conf, path: str) -> None:
         return
 
 
-def in_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], max_bytes: int = 4 << 20, by: str | None = None) -> DataFrame:
+def in_batches(df: DataFrame, schema, work: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], max_bytes: int = 4 << 20, by: str | None = None) -> DataFrame:
     """mapInArrow that hands out slices of at most max_bytes of the column `by` (or single rows beyond that)."""
     session(df)
 
@@ -92,5 +94,20 @@ def slices(batch: pa.RecordBatch, by: str | None, max_bytes: int) -> Iterator[pa
     yield from slices(batch.slice(half), by, max_bytes)
 
 
+#: Ids up to which a set of them is broadcast (8 bytes each); beyond, it is joined by shuffle.
+BROADCAST_IDS = 500_000
+
+
+def bounded(ids: DataFrame) -> DataFrame:
+    """ids (one long column), to be broadcast if there are few."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+def without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id some row of verdicts (doc_id, kept) drops. Rows with a null doc_id stay."""
+    dropped = cut(verdicts.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(bounded(dropped), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

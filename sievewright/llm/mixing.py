@@ -7,7 +7,7 @@ threshold for each source, and the mix is a filter: nothing is sorted, and a lar
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import WORD, cut, text_or_empty
@@ -17,11 +17,15 @@ LEVEL_BITS = [12, 12, 12, 12, 15]
 HASH_BITS = sum(LEVEL_BITS)
 
 
+def _hash(seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), 64 - HASH_BITS)
+
+
 def sized(docs: DataFrame, seed: int = 11, source: str = "source") -> DataFrame:
     """docs' doc_id, source, number of words and 63-bit hash; a missing source column makes all rows one source."""
     of = F.col(source).cast("string") if source in docs.columns else F.lit(None).cast("string")
     words = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), of.alias("source"), words.alias("size"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 64 - HASH_BITS).alias("h"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), of.alias("source"), words.alias("size"), _hash(seed).alias("h"))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, repeats: float = 2) -> DataFrame:
@@ -59,6 +63,20 @@ def _thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return found.select("source", (F.col("prefix") + F.when(F.col("rest") * 2 > F.col("words"), 1).otherwise(0)).alias("below"))
 
 
+def plan(rows: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, repeats: float = 2) -> DataFrame:
+    """(source, source_size, target, times, below) of rows as sized() has them: every document of a source is taken `times`
+    times, and once more if its hash is under `below` (null: none is)."""
+    goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats)
+    goals = cut(goals.withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")))
+    budgets = goals.select("source", (F.col("target") - F.col("times") * F.col("source_size")).alias("rest")).where("rest > 0")
+    below = _thresholds(rows, budgets).withColumnRenamed("source", "_b")
+    return cut(goals.join(below, F.col("source").eqNullSafe(F.col("_b")), "left").drop("_b"))
+
+
+def _times(h: str = "h", times: str = "times", below: str = "below") -> Column:
+    return F.col(times) + F.coalesce((F.col(h) < F.col(below)).cast("int"), F.lit(0))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 11, source: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, taken, source) for each row of docs (doc_id, text, source).
 
@@ -69,10 +87,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     table gives an empty result.
     """
     rows = cut(sized(docs, seed, source))
-    plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats)
-    plan = cut(plan.withColumn("_times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")))
-    budgets = plan.select("source", (F.col("target") - F.col("_times") * F.col("source_size")).alias("rest")).where("rest > 0")
-    below = _thresholds(rows, budgets).withColumnRenamed("source", "_b")
-    plan = cut(plan.join(below, F.col("source").eqNullSafe(F.col("_b")), "left").drop("_b")).withColumnRenamed("source", "_s")
-    times = F.col("_times") + F.coalesce((F.col("h") < F.col("below")).cast("long"), F.lit(0))
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), "source")
+    of = plan(rows, weights, share, repeats).withColumnRenamed("source", "_s")
+    joined = rows.join(of, F.col("source").eqNullSafe(F.col("_s")))
+    return joined.select("doc_id", "size", "source_size", "target", (_times() * F.col("size")).cast("long").alias("taken"), "source")
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 11, source: str = "source") -> DataFrame:
+    """The mix itself: docs' rows and columns, each row as often as mix() takes it. Texts stay in their partitions: only the
+    plan, a row for each source, is joined to them. Rows without a word come as often as their source and hash say."""
+    of = plan(cut(sized(docs, seed, source)), weights, share, repeats).select(F.col("source").alias("_s"), F.col("times").alias("_times"), F.col("below").alias("_below"))
+    name = F.col(source).cast("string") if source in docs.columns else F.lit(None).cast("string")
+    rows = docs.withColumns({"_h": _hash(seed), "_source": name}).join(of, F.col("_source").eqNullSafe(F.col("_s")))
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), _times("_h", "_times", "_below")))).select(*(f"`{c}`" for c in docs.columns))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut, in_batches, text_or_empty
+from .base import bounded, cut, in_batches, text_or_empty
 from .components import connected_components
 from .textkit import Words, mix, shingles
 
@@ -34,8 +34,6 @@ KEYS = 24
 FEW = 512
 #: A share of common values in the union's bottom K below which a pair is no candidate: over five deviations below .75.
 LEAST_ESTIMATE = 0.47
-#: Ids up to which the set of candidates is broadcast (8 bytes each); beyond, it is joined by shuffle.
-BROADCAST_IDS = 500_000
 
 
 def describe(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -95,9 +93,8 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, text) of the documents in ids, once each; ids is broadcast if it is known to be small."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
-    return rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    return rows.join(bounded(ids), "id", "left_semi")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:

@@ -186,3 +186,14 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train: int = 6000) -> DataFrame:
     return score(docs, fit(docs, labels, max_train), threshold)
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, with docs' columns; one pass, nothing is joined."""
+    p = model.p
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, counts = passages(batch.column("text"))
+        return batch.filter(pa.array(_forward(p, x.astype(np.float64), counts)[0] >= threshold))
+
+    return in_batches(docs, docs.schema, work, by="text")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, quality_mil, sharding
+from . import chat_format, exact_dedup, html_wrapper, mixing, near_dedup, quality_mil, quality_rules, sentencepiece_lattice, sharding, url_filter
 from .base import read
 
 
@@ -14,6 +15,18 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def model_file(name: str = "piece_bpe_32k.model") -> str:
+    """Where the public tokenizer's file is on this machine; only the driver reads it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentencepiece_lattice.encode(read(spark, sf_dir, "documents"), sentencepiece_lattice.load(model_file()))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -22,6 +35,23 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract_pages(read(spark, sf_dir, "pages"))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(read(spark, sf_dir, "conversations"))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = spark.createDataFrame(url_filter.SEED_URLS, "url string, label int")
+    return url_filter.judge(read(spark, sf_dir, "pages"), url_filter.fit(labelled), url_filter.RULES)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(read(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -30,7 +60,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op3_exact_dedup, op4_near_dedup, op9_quality_classifier, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_sentencepiece, op3_exact_dedup, op4_near_dedup, op5_html_extraction, op6_chat_formatting, op7_url_filters, op8_quality_rules, op9_quality_classifier, op10_sharding)}
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": r"""
@@ -43,4 +73,17 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM k
     """,
+    "op6_chat_formatting": r"""
+        WITH t AS (
+            SELECT conv_id, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS one,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k
+            FROM conversations
+        ), p AS (
+            SELECT conv_id, k, string_agg(one, '') OVER (PARTITION BY conv_id ORDER BY k) AS prefix, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM t
+        ), whole AS (
+            SELECT prefix, min(conv_id) AS conv_id, any_value(n_turns) AS n_turns, count(*) AS n_snapshots FROM p WHERE k = n_turns GROUP BY prefix
+        )
+        SELECT conv_id, n_turns, n_snapshots, prefix AS rendered FROM whole w
+        WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.prefix = w.prefix AND p.k < p.n_turns)
+    """,
 }

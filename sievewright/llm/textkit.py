@@ -25,7 +25,7 @@ _powers: dict[int, np.ndarray] = {}
 def _power_table(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        table = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        table = np.full(max(n + n // 4, 1 << 16), base, dtype=np.uint64)
         table[0] = 1
         _powers[base] = have = np.cumprod(table)
     return have[:n]
