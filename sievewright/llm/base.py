@@ -69,7 +69,7 @@ def _remove(jvm, conf, path: str) -> None:
         return
 
 
-def in_batches(df: DataFrame, schema, work: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], max_bytes: int = 4 << 20, by: str | None = None) -> DataFrame:
+def in_batches(df: DataFrame, schema, work: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], max_bytes: int = 1 << 20, by: str | None = None) -> DataFrame:
     """mapInArrow that hands out slices of at most max_bytes of the column `by` (or single rows beyond that)."""
     session(df)
 

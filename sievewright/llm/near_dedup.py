@@ -115,7 +115,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) ->
             ok[i] = common > 0 and 100 * common >= threshold * (len(x) + len(y) - common)
         return {"a": batch.column("a").filter(ok), "b": batch.column("b").filter(ok)}
 
-    return in_batches(joined.select("a", "ta", "b", "tb"), "a long, b long", work, max_bytes=2 << 20, by="tb")
+    return in_batches(joined.select("a", "ta", "b", "tb"), "a long, b long", work, max_bytes=1 << 19, by="tb")
 
 
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
@@ -159,7 +159,7 @@ def _dense_pairs(dense: DataFrame, docs: DataFrame, width: int, threshold: int)
         return {"cls": ids, "shingle": flat}
 
     ids = dense.select(F.col("cls").alias("id"))
-    sets = cut(in_batches(_texts(docs, ids), "cls long, shingle long", work, max_bytes=1 << 20, by="text"))
+    sets = cut(in_batches(_texts(docs, ids), "cls long, shingle long", work, max_bytes=1 << 19, by="text"))
     held = sets.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     often = sets.join(held, "shingle").join(dense, "cls")
     of_class = Window.partitionBy("cls")
