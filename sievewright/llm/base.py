@@ -106,7 +106,7 @@ def bounded(ids: DataFrame) -> DataFrame:
 def without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id some row of verdicts (doc_id, kept) drops. Rows with a null doc_id stay."""
     dropped = cut(verdicts.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(bounded(dropped), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(bounded(dropped), docs["doc_id"] == dropped["_gone"], "left_anti")
 
 
 def text_or_empty(name: str = "text"):

@@ -73,8 +73,8 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     return cut(goals.join(below, F.col("source").eqNullSafe(F.col("_b")), "left").drop("_b"))
 
 
-def _times(h: str = "h", times: str = "times", below: str = "below") -> Column:
-    return F.col(times) + F.coalesce((F.col(h) < F.col(below)).cast("int"), F.lit(0))
+def _times() -> Column:
+    return F.col("times") + F.coalesce((F.col("h") < F.col("below")).cast("int"), F.lit(0))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 11, source: str = "source") -> DataFrame:
@@ -95,7 +95,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 11, source: str = "source") -> DataFrame:
     """The mix itself: docs' rows and columns, each row as often as mix() takes it. Texts stay in their partitions: only the
     plan, a row for each source, is joined to them. Rows without a word come as often as their source and hash say."""
-    of = plan(cut(sized(docs, seed, source)), weights, share, repeats).select(F.col("source").alias("_s"), F.col("times").alias("_times"), F.col("below").alias("_below"))
+    of = plan(cut(sized(docs, seed, source)), weights, share, repeats).select(F.col("source").alias("_s"), "times", "below")
     name = F.col(source).cast("string") if source in docs.columns else F.lit(None).cast("string")
-    rows = docs.withColumns({"_h": _hash(seed), "_source": name}).join(of, F.col("_source").eqNullSafe(F.col("_s")))
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), _times("_h", "_times", "_below")))).select(*(f"`{c}`" for c in docs.columns))
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), _hash(seed).alias("h"), name.alias("of")).join(of, F.col("of").eqNullSafe(F.col("_s")))
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), _times())).alias("copy")).select("row.*")
