@@ -22,7 +22,8 @@ def exposure_of(low: Column, high: Column, mean: Column) -> Column:
     """From the shares of pixels under 5 and from 251, and the mean luminance; null (an empty image) is 0."""
     clipped = F.least(F.lit(1.0), (low + high) * 3.0)
     off = F.least(F.lit(1.0), F.abs(mean - 128.0) / 128.0)
-    return F.coalesce(clip01(1.0 - 0.7 * clipped - 0.3 * off), F.lit(0.0))
+    known = low.isNotNull() & high.isNotNull() & mean.isNotNull()  # least and greatest pass nulls over
+    return F.when(known, clip01(1.0 - 0.7 * clipped - 0.3 * off)).otherwise(0.0)
 
 
 def exposure(gray: Column) -> Column:

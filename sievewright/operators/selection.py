@@ -107,7 +107,9 @@ def diverse_pack(rows: DataFrame, p: Selection = Selection(), size: int | None =
         pdf = _sorted(pdf)
         cats = {i: list(c) for i, c in zip(pdf["id"], pdf["categories"], strict=True)}
         pack = fold_diverse(list(zip(pdf["id"], pdf["timestamp"], pdf["quality"], cats.values(), strict=True)), size, p)
-        out = pd.DataFrame({"id": [i for i, _ in pack], "pick": range(1, len(pack) + 1), "phase": [ph for _, ph in pack], "categories": [cats[i] for i, _ in pack]})
+        if not pack:
+            return pd.DataFrame()
+        out = pd.DataFrame({"id": [i for i, _ in pack], "pick": range(1, len(pack) + 1), "phase": [ph for _, ph in pack], "categories": pd.Series([cats[i] for i, _ in pack], dtype=object)})
         for k in keys:
             out[k] = pdf[k].iloc[0]
         return out
@@ -125,6 +127,8 @@ def reference_pack(rows: DataFrame, p: Selection = Selection(), size: int | None
         pdf = _sorted(pdf)
         score = dict(zip(pdf["id"], pdf["score"], strict=True))
         pack = fold_reference(list(zip(pdf["id"], pdf["score"], [list(c) for c in pdf["categories"]], strict=True)), size, p.reference_per_category)
+        if not pack:
+            return pd.DataFrame()
         out = pd.DataFrame({"id": pack, "pick": range(1, len(pack) + 1), "score": [score[i] for i in pack]})
         for k in keys:
             out[k] = pdf[k].iloc[0]

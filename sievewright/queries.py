@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,11 +24,15 @@ DEDUP = Dedup(window=21600.0)
 CLUSTERS = Clustering(cosine=0.1, merge_cosine=0.9, min_size=4)
 
 
+#: Numbers with a point are decimals in DuckDB, doubles here.
+DECIMAL = re.compile(r"(?<![\w.'])(\d*\.\d+)(?![\w.:'])")
+
+
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if oracle is not None:
-            ORACLES[f.__name__] = oracle
+            ORACLES[f.__name__] = DECIMAL.sub(r"(\1::DOUBLE)", oracle)
         return f
 
     return add
@@ -270,8 +275,8 @@ def j9_already_used(spark, sf_dir):
 _ADJ = sql.values([(i, n, k, p) for i, (n, (own, _)) in enumerate(synthesis.SPEC.items(), 1) for k, p in enumerate(synthesis.ADJACENCY[own] if own else synthesis.ANY_POSE, 1)], "rank, category, k, pose")
 
 
-@query(f"""{LOOKS}, {_ADJ}, c AS (SELECT DISTINCT category FROM t), pool AS (SELECT * FROM k WHERE id % 5 = 0 AND pose NOT IN ('front', 'profile_right')),
-    q AS (SELECT c.category, s.id, s.pose, row_number() OVER (PARTITION BY c.category ORDER BY coalesce(t.k, 99), s.quality DESC, s.id) AS rn FROM c, pool s LEFT JOIN t ON t.category = c.category AND t.pose = s.pose)
+@query(f"""{LOOKS}, {_ADJ}, u AS (SELECT DISTINCT category FROM t), pool AS (SELECT * FROM k WHERE id % 5 = 0 AND pose NOT IN ('front', 'profile_right')),
+    q AS (SELECT u.category, s.id, s.pose, row_number() OVER (PARTITION BY u.category ORDER BY coalesce(t.k, 99), s.quality DESC, s.id) AS rn FROM u, pool s LEFT JOIN t ON t.category = u.category AND t.pose = s.pose)
     SELECT category, id AS base_id, pose AS base_pose FROM q WHERE rn = 1""")
 def j10_f18_base_pick(spark, sf_dir):
     rows = views.looks(spark, sf_dir).where("id % 5 = 0 and pose not in ('front', 'profile_right')").withColumn("ord", F.col("id"))
