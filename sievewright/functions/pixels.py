@@ -60,3 +60,41 @@ def mean_colour(rgb: Column) -> Column:
     n = F.nullif(F.size(rgb), F.lit(0))
     mean = lambda c: F.aggregate(rgb, F.lit(0).cast("long"), lambda a, x: a + x[c]) / n
     return F.struct(*(mean(c).alias(c) for c in "rgb"))
+
+
+def _cosines(n: int) -> np.ndarray:
+    k = np.arange(n)
+    return np.cos(np.pi * k[:, None] * (2 * k[None, :] + 1) / (2 * n))
+
+
+def _shrink(img: np.ndarray, side: int) -> np.ndarray:
+    """Means over a side by side grid; rows or columns repeat where the image is smaller."""
+    for axis in (0, 1):
+        n = img.shape[axis]
+        at = np.minimum(np.arange(side + 1) * n // side, n)
+        ran = np.concatenate([np.zeros_like(np.take(img, [0], axis)), np.cumsum(img, axis)], axis)
+        lo, hi = at[:-1], np.maximum(at[1:], at[:-1] + 1)
+        span = (hi - lo).reshape((-1, 1) if axis == 0 else (1, -1))
+        img = (np.take(ran, np.minimum(hi, n), axis) - np.take(ran, np.minimum(lo, n - 1), axis)) / span
+    return img
+
+
+def hash_bits(img: np.ndarray, side: int = 32, keep: int = 8) -> int | None:
+    """64 bits, as a signed long, that say which of the lowest frequencies of the shrunk image are over their median; None for an empty image."""
+    if not img.size:
+        return None
+    c = _cosines(side)
+    low = (c @ _shrink(img, side) @ c.T)[:keep, :keep]
+    bits = (low > np.median(low)).ravel()
+    value = int(np.packbits(bits).view(">u8")[0])
+    return value - 2**64 if value >= 2**63 else value
+
+
+def perceptual_hash(gray: Column, width: Column) -> Column:
+    """Of a row-major array of luminances: alike images differ in few bits; null for what is no image."""
+
+    @F.pandas_udf(T.LongType())
+    def run(g: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series([hash_bits(_image(x, y)) for x, y in zip(g, w, strict=True)], dtype="Int64")
+
+    return run(gray, width)

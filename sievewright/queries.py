@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import sql, views
-from .functions import body, geometry, pose, quality, text, vectors
+from .functions import body, geometry, pixels, pose, quality, text, vectors
 from .functions.categories import CATEGORIES
 from .functions.text import PALETTE
 from .operators import clustering, dedup, reports, sampling, selection, synthesis
@@ -619,3 +619,56 @@ def flagship_survivor_distribution(spark, sf_dir):
     """Candidates scored, deduplicated in windows, and counted by pose and quality."""
     kept = dedup.deduplicate(views.candidates(spark, sf_dir), DEDUP).where("kept")
     return kept.groupBy("pose", reports.quality_bin(F.col("quality")).alias("bin")).agg(F.count("*").alias("n"))
+
+
+# What needs pixels: rows only in the driver's check, unit tests against known images.
+
+
+def _images(spark, sf_dir):
+    """An 8 by 8 image of each embedding, scaled up to 32 by 32."""
+    pixel = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.floor(128 + 400 * F.get("e", (F.floor(i / 128) * 8 + F.floor((i % 32) / 4)).cast("int"))))
+    return views.dims(spark, sf_dir).select("id", pixel.cast("array<double>").alias("gray"), F.lit(32).alias("width"))
+
+
+@query()
+def d1_perceptual_hash(spark, sf_dir):
+    return _images(spark, sf_dir).select("id", pixels.perceptual_hash(F.col("gray"), F.col("width")).alias("phash"))
+
+
+@query()
+def f1_f4_pixel_scores(spark, sf_dir):
+    g, w = F.col("gray"), F.col("width")
+    return _images(spark, sf_dir).select("id", r6(quality.sharpness(pixels.laplacian(g, w))).alias("sharpness"), r6(pixels.artifact(g, w)).alias("artifact"))
+
+
+# Sources and set operations.
+
+
+@query("SELECT event_id AS id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def s9_json_read(spark, sf_dir):
+    """JSON text parsed into a map; what can't be parsed has no entries."""
+    props = F.from_json("props", "map<string,string>", {"mode": "PERMISSIVE"})
+    return views.read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.explode(props).alias("key", "value"))
+
+
+@query(f"{LOOKS} SELECT 'frame_' || printf('%08d', id) || '_' || id AS file, array_to_string(list_concat(['person'], list_filter(list_transform(tags, lambda x: {_PHRASES}), lambda x: x IS NOT NULL)), ', ') AS caption FROM k WHERE id % 4 <> 0")
+def w4_caption_dataset(spark, sf_dir):
+    from .sources.sinks import caption_rows
+
+    rows = views.looks(spark, sf_dir).withColumns({"frame_number": F.col("id"), "frame_path": F.when(F.col("id") % 4 != 0, F.lit("x.jpg")), "caption": text.caption(F.lit("person"), F.col("expressions"))})
+    return caption_rows(rows)
+
+
+@query(f"""{LOOKS}, a AS (SELECT id FROM k WHERE pose = 'front'), b AS (SELECT id FROM k WHERE id % 3 = 0) SELECT 'union' AS op, id FROM (SELECT id FROM a UNION SELECT id FROM b) UNION ALL SELECT 'except', id FROM (SELECT id FROM a EXCEPT SELECT id FROM b)
+    UNION ALL SELECT 'intersect', id FROM (SELECT id FROM a INTERSECT SELECT id FROM b)""")
+def sets_union_except_intersect(spark, sf_dir):
+    rows = views.looks(spark, sf_dir)
+    a, b = rows.where("pose = 'front'").select("id"), rows.where("id % 3 = 0").select("id")
+    tag = lambda name, df: df.select(F.lit(name).alias("op"), "id")
+    return tag("union", a.union(b).distinct()).union(tag("except", a.exceptAll(b).distinct())).union(tag("intersect", a.intersect(b)))
+
+
+@query(f"{LOOKS} SELECT id, list_has_any(tags, ['talking', 'focused']) AS overlaps, len(list_filter(['neutral', 'talking'], lambda x: NOT list_contains(tags, x)))::INT AS missing FROM k")
+def sets_overlap_difference(spark, sf_dir):
+    want = lambda *t: F.array(*map(F.lit, t))
+    return views.looks(spark, sf_dir).select("id", F.arrays_overlap("expressions", want("talking", "focused")).alias("overlaps"), F.size(F.array_except(want("neutral", "talking"), F.col("expressions"))).alias("missing"))

@@ -324,3 +324,43 @@ def test_curation_end_to_end(spark):
     assert got.why == "dominant" and got.survivors.count() == 2 and got.pack.count() == 2 and got.plan.count() == 16
     m = got.manifest.first()
     assert m["faces_found"] == 25 and m["after_dedup"] == 2 and len(m["images"]) == 2
+
+
+def test_hash_of_images():
+    rng = np.random.default_rng(2)
+    img = np.kron(rng.integers(0, 255, (8, 8)), np.ones((6, 6))).astype(float)
+    near = (pixels.hash_bits(img) ^ pixels.hash_bits(img + rng.normal(0, 3, img.shape))) & (2**64 - 1)
+    far = (pixels.hash_bits(img) ^ pixels.hash_bits(np.kron(rng.integers(0, 255, (8, 8)), np.ones((6, 6))))) & (2**64 - 1)
+    assert near.bit_count() <= 8 < far.bit_count() and pixels.hash_bits(np.zeros((0, 0))) is None
+
+
+def test_plugged_models(spark):
+    from sievewright.operators.inference import detect, embed
+
+    frames = spark.createDataFrame([("v", 1, 0.0, bytearray(b"ab")), ("v", 2, 1.0, bytearray(b"")), ("v", 3, 2.0, bytearray(b"bad"))], "video_id string, frame_number long, timestamp double, content binary")
+
+    def detector():
+        def run(content):
+            if content == b"bad":
+                raise ValueError("no image")
+            return [(1.5, -2.0, 10.0 * (i + 1), 10.0, 0.7 + 0.2 * i) for i in range(len(content))]
+
+        return run
+
+    got = detect(frames, detector).collect()
+    assert [(r["frame_number"], r["position"], tuple(r["bbox"]), r["candidate_id"]) for r in got] == [(1, 1, (1, 0, 20, 10), "f00000001_1_0_20_10")]
+    rows = detect(frames, detector, 0.5).join(frames.select("frame_number", "content"), "frame_number")
+    made = embed(rows, lambda: lambda content, box: None if box[2] == 20 else np.ones(4)).collect()
+    assert [list(r["embedding"]) for r in made] == [[1.0] * 4]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from sievewright.cli import main
+
+    rows = planted(spark, [20, 5]).withColumns({"video_id": F.lit("v"), "frame_number": F.col("id"), "timestamp": F.col("id") * 0.5, "blendshapes": F.create_map().cast("map<string,double>"), "phash": F.lit(0).cast("long"), "pose": F.lit("front"), "expressions": F.array(F.lit("neutral")), "quality": 0.5 + F.col("id") / 100, "sharpness": F.lit(0.5)})
+    rows.write.parquet(str(tmp_path / "in"))
+    args = [str(tmp_path / "in"), "--output", str(tmp_path / "out"), "--checkpoints", str(tmp_path / "kept")]
+    assert main(args, spark) == 0 and "identity 0 (dominant)" in capsys.readouterr().out
+    assert spark.read.json(str(tmp_path / "out" / "manifest")).first()["faces_found"] == 25
+    assert spark.read.parquet(str(tmp_path / "out" / "pack")).count() == 2
+    assert main([*args, "--person", "9"], spark) == 1 and "out of range" in capsys.readouterr().err
