@@ -59,13 +59,20 @@ def complete_linkage(vectors: np.ndarray, limit: float) -> np.ndarray:
     return label
 
 
-def similar_pairs(rows: DataFrame, cosine_above: float, blocks: int = 8, keys: tuple[str, ...] = ()) -> DataFrame:
+#: Rows of a block in pairwise products: a block pair's matrix of doubles has 32 MB.
+BLOCK_ROWS = 2048
+
+
+def similar_pairs(rows: DataFrame, cosine_above: float, blocks: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, keys) of `id` pairs of one key whose embeddings are nearer than the threshold's distance, by blocked matrix products.
 
-    Rows are dealt into blocks by a hash; each block pair is one group that two blocks go to. A row is sent blocks + 1 times
-    over 2, and no task holds more than two blocks.
+    Rows are dealt into blocks by a hash, as many as keep the largest key's blocks near BLOCK_ROWS; each block pair is one
+    group that two blocks go to, so a row is sent as often as there are blocks and no task holds more than two of them.
     """
     ship(rows.sparkSession)
+    if blocks is None:
+        largest = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        blocks = max(1, -(-largest // BLOCK_ROWS))
     limit = math.sqrt(max(0.0, 2 - 2 * cosine_above))
     dealt = rows.where("embedding is not null").select("id", "embedding", *keys, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_b"))
     pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least(F.col("_b"), k).alias("i"), F.greatest(F.col("_b"), k).alias("j")))
@@ -144,33 +151,42 @@ def centroids(rows: DataFrame, cluster: str = "cluster", embedding: str = "embed
     return packed.withColumn("_n", length).select(cluster, F.transform(F.arrays_zip("centroid", F.array_repeat("_n", F.size("centroid")).alias("n")), lambda z: z["centroid"] / z["n"]).alias("centroid"))
 
 
-def centroid_pairs(cents: DataFrame, least: float, cluster: str = "cluster") -> DataFrame:
-    """(a, b, similarity) of clusters whose centroids' product reaches `least`; blocked as other vectors are."""
-    rows = cents.select(F.col(cluster).alias("id"), F.col("centroid").alias("embedding"))
-    near = similar_pairs(rows, max(-1.0, least - 1e-3))
+def centroid_pairs(cents: DataFrame, least: float, cluster: str = "cluster", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, similarity) of clusters of one key whose centroids' product reaches `least`; blocked as other vectors are."""
+    rows = cents.select(F.col(cluster).alias("id"), F.col("centroid").alias("embedding"), *keys)
+    near = similar_pairs(rows, max(-1.0, least - 1e-3), keys=keys).select("a", "b")
     left, right = rows.select(F.col("id").alias("a"), F.col("embedding").alias("ea")), rows.select(F.col("id").alias("b"), F.col("embedding").alias("eb"))
     product = F.aggregate(F.zip_with("ea", "eb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return near.join(left, "a").join(right, "b").select("a", "b", product.alias("similarity")).where(F.col("similarity") >= least)
 
 
-def merge_clusters(labels: DataFrame, rows: DataFrame, least: float) -> DataFrame:
-    """labels (id, cluster) with clusters joined whose centroids are alike, over chains too; centroids aren't computed again."""
-    cents = cut(centroids(labels.join(rows.select("id", "embedding"), "id")))
-    comp = components(cents.select(F.col("cluster").alias("id")), centroid_pairs(cents, least)).select(F.col("id").alias("cluster"), "component")
+def merge_clusters(labels: DataFrame, rows: DataFrame, least: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """labels (id, cluster) with clusters of one key joined whose centroids are alike, over chains too; centroids aren't computed again."""
+    members = labels.join(rows.select("id", "embedding", *keys), "id")
+    cents = centroids(members, "cluster")
+    if keys:
+        cents = cents.join(members.groupBy("cluster").agg(*(F.first(k).alias(k) for k in keys)), "cluster")
+    cents = cut(cents)
+    comp = components(cents.select(F.col("cluster").alias("id")), centroid_pairs(cents, least, keys=keys)).select(F.col("id").alias("cluster"), "component")
     return labels.join(comp, "cluster").select("id", F.col("component").alias("cluster"))
 
 
-def number_clusters(labels: DataFrame, min_size: int = 4) -> DataFrame:
-    """(id, identity_cluster): 0 for the largest cluster, then by size, ties by the least id; null in clusters under min_size."""
-    sizes = labels.groupBy("cluster").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= min_size)
-    numbered = sizes.withColumn("identity_cluster", (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).cast("int"))
+def number_clusters(labels: DataFrame, min_size: int = 4, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(id, identity_cluster): within each key 0 for the largest cluster, then by size, ties by the least id; null in clusters under min_size.
+
+    A key (a video) is numbered by one task; without keys the table is one video, with a row for each of its clusters.
+    """
+    sizes = labels.groupBy(*keys, "cluster").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= min_size)
+    numbered = sizes.withColumn("identity_cluster", (F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "first")) - 1).cast("int"))
     return labels.join(numbered.select("cluster", "identity_cluster"), "cluster", "left").select("id", "identity_cluster")
 
 
 def cluster_identities(rows: DataFrame, p: Clustering = Clustering(), keys: tuple[str, ...] = ()) -> DataFrame:
-    """rows with identity_cluster."""
-    labels = cut(linkage_clusters(rows, p, keys))
-    return rows.join(number_clusters(merge_clusters(labels, rows, p.merge_cosine), p.min_size), "id", "left")
+    """rows with identity_cluster; with keys (a video id), clusters never reach over a key and are numbered within it. Ids are unique over all keys."""
+    labels = merge_clusters(cut(linkage_clusters(rows, p, keys)), rows, p.merge_cosine, keys)
+    if keys:
+        labels = labels.join(rows.select("id", *keys), "id")
+    return rows.join(number_clusters(labels, p.min_size, keys), "id", "left")
 
 
 def summarize(rows: DataFrame) -> DataFrame:

@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..checkpoints import cut
 from ..functions.vectors import cosine, hamming, map_cosine
 from ..params import Dedup
 from ..shipping import ship
+from .clustering import components
 
 
 def islands(rows: DataFrame, window: float, partition: list[str], time: str = "timestamp", order: tuple[str, ...] = ("ord",)) -> DataFrame:
@@ -65,13 +67,27 @@ def _roots(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": nodes, "group_id": [find(x) for x in nodes]})
 
 
+#: Links of an island up to which one task finds its components.
+ISLAND_EDGES = 200_000
+
+
 def groups(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """rows with group_id, the least id of the component; components are found island by island, each in one task."""
+    """rows with group_id, the least id of the component. Components are found island by island, each in one task; islands of
+    more than ISLAND_EDGES links are left to joins over the whole cluster."""
     ship(rows.sparkSession)
     kind = rows.schema["id"].dataType
     out = T.StructType([T.StructField("id", kind), T.StructField("group_id", kind)])
     keys = [c for c in edges.columns if c not in ("a", "b")]
-    found = edges.groupBy(*keys).applyInPandas(lambda pdf: _roots(pdf[["a", "b"]]), out)
+    edges = cut(edges)
+    sizes = edges.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > ISLAND_EDGES)
+    large = cut(sizes.select(*(F.col(k).alias(f"_{k}") for k in keys)))
+    same = [edges[k].eqNullSafe(large[f"_{k}"]) for k in keys]
+    small = edges.join(large, same, "left_anti")
+    found = small.groupBy(*keys).applyInPandas(lambda pdf: _roots(pdf[["a", "b"]]), out)
+    if not large.isEmpty():
+        wide = edges.join(large, same, "left_semi").select("a", "b")
+        nodes = wide.select(F.col("a").alias("id")).union(wide.select("b")).distinct()
+        found = found.unionByName(components(nodes, wide).select("id", F.col("component").alias("group_id")))
     return rows.join(found, "id", "left").withColumn("group_id", F.coalesce("group_id", "id"))
 
 

@@ -157,7 +157,9 @@ def test_dedup_cases(spark):
     assert survivors(spark, [{"timestamp": 0.0, "quality": None}, {"timestamp": 0.1, "quality": 0.1}], keep=1) == ([1], {0: 1})
 
 
-def test_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("one_task", [200_000, 3])
+def test_dedup_against_brute_force(spark, one_task, monkeypatch):
+    monkeypatch.setattr(dedup, "ISLAND_EDGES", one_task)
     rnd = random.Random(3)
     rows = [{"timestamp": rnd.uniform(0, 60), "identity_cluster": rnd.choice([None, 0, 1]), "phash": rnd.choice([0, 7, 2**40 - 1]), "quality": rnd.choice([None, 0.3, 0.9])} for _ in range(150)]
     group = list(range(len(rows)))
@@ -219,6 +221,9 @@ def test_identities_and_target(spark):
     for bad in (lambda: pick(info(5), person=5), lambda: pick(info())):
         with pytest.raises(NoTarget):
             bad()
+    apart = planted(spark, [8, 6, 6]).withColumn("video_id", F.when(F.col("truth") == 2, "w").otherwise("v"))
+    numbers = {(r["video_id"], r["truth"], r["identity_cluster"]) for r in clustering.cluster_identities(apart, keys=("video_id",)).collect()}
+    assert numbers == {("v", 0, 0), ("v", 1, 1), ("w", 2, 0)}
     second = got.where("truth = 1").first()["embedding"]
     assert pick(info(90, 10), got, reference=second) == (1, "reference") and pick(info(90, 10), got, person=1, reference=second) == (0, "number")
 
