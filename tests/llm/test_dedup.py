@@ -119,5 +119,5 @@ def test_exact(spark, force, monkeypatch):
 def test_exact_empty_null_ids_repeats_and_clashing_columns(spark):
     assert exact_duplicates(docs(spark, [])).count() == 0
     odd = docs(spark, ["a", "a", "a", "b"], [5, 5, None, None]).selectExpr("*", "1 as key", "2 as norm", "3 as best", "4 as length")
-    got = sorted((str(r["doc_id"]), r["keep_id"], r["group_size"], r["kept"]) for r in exact_duplicates(odd).collect())
+    got = sorted(((str(r["doc_id"]), r["keep_id"], r["group_size"], r["kept"]) for r in exact_duplicates(odd).collect()), key=repr)
     assert got == [("5", 5, 3, True), ("5", 5, 3, True), ("None", 5, 3, False), ("None", None, 1, True)]
