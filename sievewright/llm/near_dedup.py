@@ -132,14 +132,15 @@ def _stars(lists: DataFrame, threshold: int) -> DataFrame:
     """(a, b), a the leader: the member of each list that shares the most values with others, by its lists' lengths."""
     shared = lists.groupBy("cls").agg(F.sum("members").alias("shared"))
     known = lists.join(shared, "cls")
-    leaders = known.groupBy("value").agg(F.max(F.struct("shared", (-F.col("cls")).alias("minus"), "n", "comp")).alias("lead"))
+    leaders = cut(known.groupBy("value").agg(F.max(F.struct("shared", (-F.col("cls")).alias("minus"), "n", "comp")).alias("lead")))
     pairs = lists.join(leaders, "value").select((-F.col("lead.minus")).alias("a"), F.col("cls").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"), F.col("lead.comp").alias("ca"), F.col("comp").alias("cb"))
     return pairs.where("ca <> cb").where(_sized(threshold)).select("a", "b").distinct()
 
 
 def _lists(keys: DataFrame) -> DataFrame:
     """Members of the lists that hold more than one component: value, cls, n, comp, members."""
-    multiple = keys.groupBy("value").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value", "members")
+    # Counted into a table of its own: a join of two plain exchanges can split the rows of a hot value over tasks.
+    multiple = cut(keys.groupBy("value").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value", "members"))
     return cut(keys.select("value", "cls", "n", "comp").join(multiple, "value"))
 
 
@@ -191,7 +192,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75) -> Dat
         so_far = found[0] if len(found) == 1 else found[0].unionByName(found[1])
         lists = _lists(_relabel(lists, so_far))
 
-    sizes = lists.groupBy("value", "comp").agg(F.count("*").alias("s")).groupBy("value").agg(F.expr("(sum(s) * sum(s) - sum(s * s)) / 2").alias("pairs"))
+    sizes = cut(lists.groupBy("value", "comp").agg(F.count("*").alias("s")).groupBy("value").agg(F.expr("(sum(s) * sum(s) - sum(s * s)) / 2").alias("pairs")))
     sized = cut(lists.join(sizes, "value").select("value", "cls", "n", "comp", "pairs"))
     few, many = sized.where(f"pairs <= {FEW}"), sized.where(f"pairs > {FEW}")
     a = few.select("value", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
