@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -147,18 +148,17 @@ class Lattice:
         names = list(pieces.ids)
         for n in names:
             self.rank[pieces.ids[n]] = rank[pieces.scores[n]]
-        keys = np.array([self._hash(n) for n in names], np.uint64)
-        values = np.array([pieces.ids[n] for n in names], np.int32)
-        self.levels = []
-        while len(keys):  # each level takes the keys that have a slot of their own, the rest go on to the next one
+        self.keys = np.array([self._hash(n) for n in names] + [0], np.uint64)
+        self.found = np.array([*(pieces.ids[n] for n in names), -1], np.int32)
+        self.levels, rest = [], np.arange(len(names))
+        while len(rest):  # each level takes the keys that have a slot of their own, the others go on to the next one
             step = np.uint64(0x9E3779B97F4A7C15 + 2 * len(self.levels) * 0x1234567)
-            slot = (keys * step) >> np.uint64(44)
+            slot = (self.keys[rest] * step) >> np.uint64(46)
             _, first = np.unique(slot, return_index=True)
-            k, v = np.zeros(1 << 20, np.uint64), np.full(1 << 20, -1, np.int32)
-            k[slot[first]], v[slot[first]] = keys[first], values[first]
-            self.levels.append((step, k, v))
-            rest = np.setdiff1d(np.arange(len(keys)), first)
-            keys, values = keys[rest], values[rest]
+            table = np.full(1 << 18, -1, np.int32)
+            table[slot[first]] = rest[first]
+            self.levels.append((step, table))
+            rest = np.delete(rest, first)
 
     _BASE = 0x100000001B3
 
@@ -169,11 +169,19 @@ class Lattice:
         return h
 
     def _find(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(h.shape, -1, np.int32)
-        for step, k, v in self.levels:
-            slot = (h * step) >> np.uint64(44)
-            hit = k[slot] == h
-            out[hit] = v[slot[hit]]
+        """Ids of hashes, -1 for none. A hash is sought in the next level only if another one has its slot."""
+        out = np.full(len(h), -1, np.int32)
+        at = None
+        for step, table in self.levels:
+            taken = table[(h * step) >> np.uint64(46)]
+            full = np.flatnonzero(taken >= 0)
+            taken, h = taken[full], h[full]
+            at = full if at is None else at[full]
+            hit = self.keys[taken] == h
+            out[at[hit]] = self.found[taken[hit]]
+            at, h = at[~hit], h[~hit]
+            if not len(at):
+                break
         return out
 
     def encode(self, words: list[str]) -> list[tuple[int, ...]]:
@@ -192,56 +200,58 @@ class Lattice:
         return out
 
     def _merged(self, words: list[str], n: np.ndarray, width: int) -> list[tuple[int, ...]]:
+        """Arrays have a row for each place and a column for each word, so that the least of all costs is taken for many words at once."""
         count, most = len(words), min(self.pieces.longest, width)
-        inside = np.arange(width)[None, :] < n[:, None]
+        n = n.astype(np.int32)
+        inside = np.arange(width)[:, None] < n[None, :]
         chars = np.zeros((count, width), np.uint64)
-        chars[inside] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        edge = np.full((count, width, most + 1), -1, np.int32)
-        h = np.zeros((count, width), np.uint64)
+        chars[inside.T] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        chars = np.ascontiguousarray(chars.T)
+        edge = np.full((most + 1, width, count), -1, np.int32)
+        h = np.zeros((width, count), np.uint64)
         for size in range(1, most + 1):
             stay = width - size + 1
-            h = h[:, :stay] * np.uint64(self._BASE) + chars[:, size - 1 :] + np.uint64(1)
-            ok = (np.arange(stay)[None, :] + size) <= n[:, None]
-            found = np.full((count, stay), -1, np.int32)
-            found[ok] = self._find(h[ok])
-            edge[:, :stay, size] = found
-        after = np.minimum(np.arange(width)[None, :] + 1, width).repeat(count, 0)
-        before = (np.arange(width)[None, :] - 1).repeat(count, 0)
+            h = h[:stay] * np.uint64(self._BASE) + chars[size - 1 :] + np.uint64(1)
+            ok = inside[size - 1 :]  # the last place of a substring that begins at the row
+            part = np.full((stay, count), -1, np.int32)
+            part[ok] = self._find(h[ok])
+            edge[size, :stay] = part
+        none = np.int32(np.iinfo(np.int32).max)
+        rank = (self.rank * 64).astype(np.int32)
+        cost = np.full((width, count), none)
+        pair = edge[2, : width - 1]
+        cost[: width - 1] = np.where(pair >= 0, rank[pair] + np.arange(width - 1, dtype=np.int32)[:, None], none)
+        after = np.arange(1, width + 1, dtype=np.int32)[:, None].repeat(count, 1)
+        before = np.arange(-1, width - 1, dtype=np.int32)[:, None].repeat(count, 1)
         alive = inside.copy()
-        none = np.iinfo(np.int64).max
-        cost = np.full((count, width), none)
 
-        def weigh(w: np.ndarray, i: np.ndarray) -> None:
-            """The cost of merging the symbol at i of word w with the next one."""
-            mid = after[w, i]
+        def weigh(w: np.ndarray, i: np.ndarray, mid: np.ndarray) -> None:
+            """The cost of merging the symbol of word w that goes from i to mid with the next one."""
             has = mid < n[w]
-            end = np.where(has, after[w, np.minimum(mid, width - 1)], 0)
-            size = end - i
-            has &= size <= most
-            ids = np.where(has, edge[w, i, np.where(has, size, 0)], -1)
-            cost[w, i] = np.where(ids >= 0, self.rank[ids] * 64 + i, none)
-
-        weigh(*np.nonzero(inside))
-        live = np.arange(count)
-        while len(live):
-            i = cost[live].argmin(1)
-            ok = cost[live, i] < none
-            live, i = live[ok], i[ok]
-            if not len(live):
+            size = np.where(has, after[np.minimum(mid, width - 1), w] - i, 0)
+            size[size > most] = 0
+            ids = edge[size, i, w]  # size 0 has no edges
+            cost[i, w] = np.where(ids >= 0, rank[ids] + i, none)
+
+        while True:
+            least = cost.min(0)
+            w = np.flatnonzero(least < none)
+            if not len(w):
                 break
-            mid = after[live, i]
-            end = after[live, mid]
-            after[live, i] = end
-            alive[live, mid] = False
-            cost[live, mid] = none
-            behind = end < n[live]
-            before[live[behind], end[behind]] = i[behind]
-            weigh(live, i)
-            prev = before[live, i]
+            i = least[w] & 63
+            mid = after[i, w]
+            end = after[mid, w]
+            after[i, w] = end
+            alive[mid, w] = False
+            cost[mid, w] = none
+            behind = end < n[w]
+            before[end[behind], w[behind]] = i[behind]
+            weigh(w, i, end)
+            prev = before[i, w]
             front = prev >= 0
-            weigh(live[front], prev[front])
-        w, i = np.nonzero(alive)
-        ids = edge[w, i, np.minimum(after[w, i] - i, most)]
+            weigh(w[front], prev[front], i[front])
+        w, i = np.nonzero(alive.T)
+        ids = edge[np.minimum(after[i, w] - i, most), i, w]
         flat, split = ids.tolist(), np.searchsorted(w, np.arange(count + 1)).tolist()
         out = [tuple(flat[a:b]) for a, b in zip(split[:-1], split[1:], strict=True)]
         places = i.tolist()
@@ -341,17 +351,17 @@ def encode(docs: DataFrame, pieces: Pieces, keep: tuple[str, ...] = ("doc_id",),
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, dictionary = shared.value
-        lattice, memory = Lattice(own), {}
+        lattice, known = Lattice(own), dict(dictionary)
         for batch in batches:
-            for part in slices(batch, "_text", 1 << 20):
+            for part in slices(batch, "_text", 2 << 20):
                 texts = part.column("_text").to_pylist()
                 split = [_words_of(t, own) for t in texts]
-                new = list({w for ws in split for w in ws if w not in dictionary and w not in memory})
-                if len(memory) + len(new) > REMEMBERED:
-                    memory.clear()
-                    new = list({w for ws in split for w in ws if w not in dictionary})
-                memory.update(zip(new, lattice.encode(new), strict=True))
-                coded = [[i for w in ws for i in (dictionary.get(w) or memory[w])] for ws in split]
+                met = set().union(*split)
+                if len(known) - len(dictionary) > REMEMBERED:
+                    known = dict(dictionary)
+                new = list(met.difference(known))
+                known.update(zip(new, lattice.encode(new), strict=True))
+                coded = [list(chain.from_iterable(map(known.__getitem__, ws))) for ws in split]
                 cols = {c: part.column(c) for c in keep} | {"ids": pa.array(coded, pa.list_(pa.int32()))}
                 if check:
                     cols["round_trip"] = [decode_ids(i, own) == t.replace(MARK, " ") for i, t in zip(coded, texts, strict=True)]
