@@ -85,7 +85,7 @@ def pick_bases(rows: DataFrame, categories: DataFrame) -> DataFrame:
     best = usable.withColumn("_rn", first).where("_rn = 1").select("id", "pose", "quality", "ord")
     order = {n: ADJACENCY[p] if p else ANY_POSE for n, (p, _) in SPEC.items()}
     searched = F.array(*(F.struct(F.lit(n).alias("c"), F.array(*map(F.lit, poses)).alias("p")) for n, poses in order.items()))
-    own = F.filter(searched, lambda x: x["c"] == F.col("category"))[0]["p"]
+    own = F.get(F.filter(searched, lambda x: x["c"] == F.col("category")), 0)["p"]
     ranked = categories.withColumn("_poses", F.coalesce(own, F.array(*map(F.lit, ANY_POSE)))).join(F.broadcast(best), F.lit(True), "left")
     place = F.coalesce(F.nullif(F.array_position("_poses", F.col("pose")), F.lit(0)), F.lit(99))
     pick = F.row_number().over(Window.partitionBy("category").orderBy(place, F.col("quality").desc_nulls_last(), "ord"))
