@@ -85,10 +85,10 @@ class Words:
 def shingles(words: Words, width: int = 5) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its width-word shingles; with fewer words, of the whole sequence."""
     h = words.hashes()
-    n = len(h)
-    every = np.zeros(max(0, n - width + 1), np.uint64)
+    n = max(0, len(h) - width + 1)
+    every = np.zeros(n, np.uint64)
     for j in range(width):
-        every += h[j : n - width + 1 + j] * _STEPS[j]
+        every += h[j : n + j] * _STEPS[j]
     every = mix(every)
     out = []
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):

@@ -4,13 +4,17 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import Phase, given, settings
 from hypothesis import strategies as st
 
 from sievewright.llm import near_dedup
 from sievewright.llm.exact_dedup import exact_duplicates
 from sievewright.llm.near_dedup import near_duplicates
+from sievewright.llm.quality_mil import passages
+from sievewright.llm.textkit import Words, shingles
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -80,13 +84,24 @@ def test_near_dense_lists_go_by_the_exact_prefix_filter(spark, monkeypatch):
     assert (sizes, comps) == brute_components(texts)
 
 
-@settings(max_examples=4, deadline=None)
+@settings(max_examples=3, deadline=None, phases=[Phase.explicit, Phase.generate])
 @given(st.lists(st.text(alphabet="aB \n", max_size=24), min_size=1, max_size=25))
 def test_near_small_texts(spark, texts):
     sizes, comps, _ = near(spark, texts)
     assert (sizes, comps) == brute_components(texts)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aB \n\x0b\xa0\xe9", max_size=30)), max_size=12))
+def test_shingles_and_passages_of_any_batch(texts):
+    column = pa.array(texts, pa.string())
+    words = Words(column, lower=True)
+    assert [len(s) for s in shingles(words)] == [len(shingle_set(t)) for t in texts]
+    assert words.counts.tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+    features, counts = passages(column)
+    assert len(counts) == len(texts) and len(features) == counts.sum() and np.isfinite(features).all()
+
+
 def test_near_empty_table_null_ids_and_clashing_columns(spark):
     assert near_duplicates(docs(spark, [])).count() == 0
     odd = docs(spark, ["a b c d e f", "a b c d e f", "a b c d e f"], [3, None, 7]).selectExpr("*", "1 as n", "'x' as sketch", "2 as cls", "3 as value", "4 as component")
