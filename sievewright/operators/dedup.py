@@ -67,13 +67,13 @@ def _roots(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": nodes, "group_id": [find(x) for x in nodes]})
 
 
-#: Links of an island up to which one task finds its components.
-ISLAND_EDGES = 200_000
+#: Links of an island up to which one task finds its components, and links that are given to a task together.
+ISLAND_EDGES, TASK_EDGES = 200_000, 50_000
 
 
 def groups(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """rows with group_id, the least id of the component. Components are found island by island, each in one task; islands of
-    more than ISLAND_EDGES links are left to joins over the whole cluster."""
+    """rows with group_id, the least id of the component. No component leaves its island, so whole islands are dealt out to
+    tasks, many small ones together; islands of more than ISLAND_EDGES links are left to joins over the whole cluster."""
     ship(rows.sparkSession)
     kind = rows.schema["id"].dataType
     out = T.StructType([T.StructField("id", kind), T.StructField("group_id", kind)])
@@ -83,7 +83,9 @@ def groups(rows: DataFrame, edges: DataFrame) -> DataFrame:
     large = cut(sizes.select(*(F.col(k).alias(f"_{k}") for k in keys)))
     same = [edges[k].eqNullSafe(large[f"_{k}"]) for k in keys]
     small = edges.join(large, same, "left_anti")
-    found = small.groupBy(*keys).applyInPandas(lambda pdf: _roots(pdf[["a", "b"]]), out)
+    tasks = max(edges.sparkSession.sparkContext.defaultParallelism, -(-edges.count() // TASK_EDGES))
+    dealt = small.select("a", "b", F.pmod(F.xxhash64(*keys), F.lit(tasks)).alias("_task"))
+    found = dealt.groupBy("_task").applyInPandas(lambda pdf: _roots(pdf[["a", "b"]]), out)
     if not large.isEmpty():
         wide = edges.join(large, same, "left_semi").select("a", "b")
         nodes = wide.select(F.col("a").alias("id")).union(wide.select("b")).distinct()
