@@ -6,7 +6,7 @@ conversation; one whose whole hash names a proper prefix of another is a snapsho
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import cut
@@ -15,28 +15,24 @@ from .base import cut
 TURN_START, TURN_END = "<|im_start|>", "<|im_end|>"
 
 
-def _digest(turn: Column) -> Column:
-    """128 bits of a turn's role and text; lengths keep the two apart, null differs from empty."""
-    role, text = turn["role"], turn["text"]
-    return F.md5(F.concat(F.coalesce(F.length(role), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(role, F.lit("")), F.coalesce(F.length(text), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(text, F.lit(""))))
+def _hash(seed: int) -> Column:
+    """63 bits of a turn's place, role and text as a decimal, so that sums don't overflow; lengths tell null from empty."""
+    parts = [F.lit(seed), F.col("k"), F.coalesce(F.length("role"), F.lit(-1)), "role", F.coalesce(F.length("text"), F.lit(-1)), "text"]
+    return F.shiftrightunsigned(F.xxhash64(*parts), 1).cast("decimal(38,0)")
 
 
-def conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, turns, n_turns): a row for each conversation with its turns by turn number, null first, then role and text."""
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).alias("t"))
-    packed = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    return packed.withColumn("n_turns", F.size("turns"))
+def with_prefixes(turns: DataFrame) -> DataFrame:
+    """(conv_id, k, role, text, n_turns, p1, p2) for each turn: its place from 1 by turn number (null first), then role and text, and
+    the rolling hash of all turns up to it, two running sums of independent hashes. The last turn's names the conversation.
 
-
-def with_prefixes(convs: DataFrame) -> DataFrame:
-    """convs with `prefixes`, the rolling hash after each turn; the last one names the whole conversation."""
-    start = F.struct(F.lit("").alias("h"), F.array().cast("array<string>").alias("all"))
-
-    def roll(a: Column, t: Column) -> Column:
-        h = F.md5(F.concat(a["h"], _digest(t)))
-        return F.struct(h.alias("h"), F.concat(a["all"], F.array(h)).alias("all"))
-
-    return convs.withColumn("prefixes", F.aggregate("turns", start, roll, lambda a: a["all"]))
+    A running window needs no more memory for a conversation of any length.
+    """
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    conv = Window.partitionBy("conv_id")
+    order = conv.orderBy("turn", "role", "text")
+    placed = rows.withColumns({"k": F.row_number().over(order), "n_turns": F.count("*").over(conv)})
+    upto = conv.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    return placed.withColumns({f"p{i}": F.sum(_hash(seed)).over(upto) for i, seed in ((1, 71), (2, 1009))}).drop("turn")
 
 
 def collapse(turns: DataFrame) -> DataFrame:
@@ -46,13 +42,13 @@ def collapse(turns: DataFrame) -> DataFrame:
     conv_id (null last). n_snapshots counts the equal conversations that a row stands for, itself included. Turns with a null
     conv_id are one conversation. Repeated turns are turns like others. An empty table gives an empty result.
     """
-    convs = cut(with_prefixes(conversations(turns)))
-    names = convs.select("conv_id", "n_turns", F.element_at("prefixes", -1).alias("whole"))
-    # A prefix hash counts all conversations that pass through it, summed before the shuffle, however common a first turn is.
-    passed = convs.select(F.explode(F.slice("prefixes", F.lit(1), F.greatest(F.col("n_turns") - 1, F.lit(0)))).alias("whole")).distinct()
-    maximal = names.groupBy("whole").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_snapshots")).join(passed, "whole", "left_anti")
-    chosen = maximal.select(F.col("conv_id").alias("_c"), "n_snapshots")
-    return convs.join(chosen, F.col("conv_id").eqNullSafe(F.col("_c"))).select("conv_id", "turns", "n_turns", "n_snapshots")
+    rows = cut(with_prefixes(turns))
+    whole = rows.where("k = n_turns").groupBy("p1", "p2").agg(F.min("conv_id").alias("_c"), F.count("*").alias("n_snapshots"))
+    # However common a first turn is, its prefix is one row a task before the shuffle.
+    begun = rows.where("k < n_turns").select("p1", "p2").distinct()
+    chosen = cut(whole.join(begun, ["p1", "p2"], "left_anti").select("_c", "n_snapshots"))
+    kept = rows.select("conv_id", "n_turns", F.struct("k", "role", "text").alias("t")).join(chosen, F.col("conv_id").eqNullSafe(F.col("_c")))
+    return kept.groupBy("conv_id", "n_turns", "n_snapshots").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
 
 def render(convs: DataFrame) -> DataFrame:

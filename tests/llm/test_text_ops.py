@@ -78,6 +78,7 @@ def test_html(spark):
         (6, None, ""),
         (7, "no scheme", "<p>1 < 2 & 3 > 2</p>"),
         (8, "http://a.com/1", page("One", "<p>First  &amp;amp; <b>bold</b><br>line<p>Second &eacute;&#33;")),
+        (10, "http://e.com/", "<div>" * 5000 + "<p>deep prose" + "<nav>menu</nav>" * 3),
         (9, "http://d.com/", page("Long", "".join(f"<p>word {i}" for i in range(3000)))),
     ]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).selectExpr("*", "'x' as host", "1 as block", "2 as blocks", "'y' as text")
@@ -86,6 +87,7 @@ def test_html(spark):
     assert got[2] == "Two\n\nOther prose that differs" and got[3] == "Three\n\nA third text"
     assert got[4] == "No article element, but a long piece of prose.\n\nMore."
     assert got[5] == got[6] == "" and got[7] == "1 < 2 & 3 > 2"
+    assert got[10] == "deep prose"
     assert got[9].count("\n\n") == 3000
     assert html_wrapper.extract_pages(frame.limit(0)).count() == 0
 
@@ -99,6 +101,18 @@ def test_simple_tree_matching_finds_the_template():
     assert html_wrapper.match(trees[0], trees[1], {})[0] == 6
 
 
+def test_long_pages_are_aligned_in_one_pass():
+    bodies = ["".join(f"<p>{x} {i}</p>" for i in range(700)) for x in ("a", "b", "c", "d")]
+    texts = html_wrapper.extract([page(str(k), "<p>Always here</p>" + b) for k, b in enumerate(bodies)])
+    assert all(t.split("\n\n")[1] == "Always here" and t.count("\n\n") == 701 for t in texts)
+
+
+def test_rolling_hashes_of_one_long_conversation(spark):
+    rows = [(1, k, "user", str(k)) for k in range(5000)] + [(2, k, "user", str(k)) for k in range(4000)]
+    got = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert [(r["conv_id"], r["n_turns"]) for r in got] == [(1, 5000)]
+
+
 def _text_nodes(node):
     return [node] if node.tag == "#" else [x for c in node.children for x in _text_nodes(c)]
 
