@@ -8,16 +8,25 @@ from pyspark.sql import functions as F
 from .base import cut
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Edges from which the least neighbours are written before they are joined, so that both sides of the join are plain
+#: exchanges and the edges of one hot node can be split over tasks. Below, a task holds all of them with ease.
+WRITE_FROM = 2_000_000
+
+
+def _least(least: DataFrame, large: bool) -> DataFrame:
+    return cut(least) if large else least
+
+
+def _large_star(edges: DataFrame, large: bool) -> DataFrame:
     """Every larger neighbour of a node is tied to the least node around it."""
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    least = both.groupBy("src").agg(F.min("dst").alias("least")).withColumn("least", F.least("src", "least"))
+    least = _least(both.groupBy("src").agg(F.min("dst").alias("least")).withColumn("least", F.least("src", "least")), large)
     return both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).where("src <> dst").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, large: bool) -> DataFrame:
     """Edges point from the larger node to a smaller one: the smaller ones, and the node, are tied to the least of them."""
-    least = edges.groupBy("src").agg(F.min("dst").alias("least"))
+    least = _least(edges.groupBy("src").agg(F.min("dst").alias("least")), large)
     tied = edges.join(least, "src").select(F.col("dst").alias("src"), F.col("least").alias("dst"))
     return tied.unionByName(least.select("src", F.col("least").alias("dst"))).where("src <> dst").distinct()
 
@@ -29,9 +38,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     driver sees a count and a checksum a round. Nulls and loops are dropped, repeated links are one.
     """
     edges = links.select(F.greatest(a, b).alias("src"), F.least(a, b).alias("dst")).where("src is not null and dst is not null and src <> dst").distinct()
-    seen = None
+    edges = cut(edges)
+    seen, large = None, edges.count() >= WRITE_FROM
     for _ in range(64):
-        edges = cut(_small_star(_large_star(edges)))
+        edges = cut(_small_star(_large_star(edges, large), large))
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("s")).first()
         if (now["n"], now["s"]) == seen or not now["n"]:
             break
