@@ -120,7 +120,8 @@ def encode_words(words: DataFrame, table: DataFrame, pieces: Pieces) -> DataFram
     needs no second shuffle. A character that is no piece has its bytes' ids (or the unknown id) and joins nothing; to
     Viterbi it costs ten more than the worst piece. Null words are left out.
     """
-    distinct = words.where("word is not null and word <> ''").select("word").distinct()
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, or a small table would end in one task
+    distinct = words.where("word is not null and word <> ''").select("word").repartition(tasks, "word").distinct()
     starts = distinct.select("word", F.length("word").alias("length"), F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
     parts = starts.select("word", "length", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("length"), F.col("start") + pieces.longest))).alias("end"))
     parts = parts.withColumn("part", F.expr("substring(word, start + 1, end - start)"))
