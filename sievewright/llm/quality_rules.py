@@ -16,7 +16,7 @@ from .exact_dedup import normalised
 #: Marks that count as symbols. Fixed values.
 SYMBOLS = r"[#*$%&|<>]"
 #: Rates, each with the smallest half width of its fence: where a group's middle half is narrower, this stands for it.
-RATES = {"symbol_rate": 0.06, "dup_line_rate": 0.08, "repeat_rate": 0.12, "word_length": 1.0}
+RATES = {"symbol_rate": 0.06, "dup_line_rate": 0.08, "repeat_rate": 0.16, "word_length": 1.0}
 #: Rates that may be too low as well.
 BOTH_SIDES = {"word_length"}
 
