@@ -34,7 +34,7 @@ APART = "\n\t\r\x0b\x0c"
 #: Frequent words that the relational lattice encodes for the dictionary.
 DICTIONARY_WORDS = 100_000
 #: Other words that a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 
 
 @dataclass
@@ -192,8 +192,8 @@ class Lattice:
         out: list = [()] * len(words)
         for lo, hi in ((0, 8), (8, 12), (12, 16), (16, 24), (24, 48)):
             at = np.flatnonzero((lengths > lo) & (lengths <= hi))
-            for k in range(0, len(at), 4096):
-                part = at[k : k + 4096]
+            for k in range(0, len(at), 2048):
+                part = at[k : k + 2048]
                 for i, ids in zip(part.tolist(), self._merged([words[i] for i in part], lengths[part], hi), strict=True):
                     out[i] = ids
         for i in np.flatnonzero(lengths > 48).tolist():
@@ -354,7 +354,7 @@ def encode(docs: DataFrame, pieces: Pieces, keep: tuple[str, ...] = ("doc_id",),
         own, dictionary = shared.value
         lattice, known = Lattice(own), dict(dictionary)
         for batch in batches:
-            for part in slices(batch, "_text", 2 << 20):
+            for part in slices(batch, "_text", 1 << 20):
                 texts = part.column("_text").to_pylist()
                 split = [_words_of(t, own) for t in texts]
                 met = set().union(*split)
@@ -366,6 +366,7 @@ def encode(docs: DataFrame, pieces: Pieces, keep: tuple[str, ...] = ("doc_id",),
                 cols = {c: part.column(c) for c in keep} | {"ids": pa.array(coded, pa.list_(pa.int32()))}
                 if check:
                     cols["round_trip"] = [decode_ids(i, own) == t.replace(MARK, " ") for i, t in zip(coded, texts, strict=True)]
+                del texts, split, met, coded
                 yield pa.RecordBatch.from_pydict(cols)
 
     rows = docs.select(*keep, text_or_empty().alias("_text"))
