@@ -107,6 +107,14 @@ def test_long_pages_are_aligned_in_one_pass():
     assert all(t.split("\n\n")[1] == "Always here" and t.count("\n\n") == 701 for t in texts)
 
 
+def test_nothing_beside_the_body_container_is_lost():
+    words = ("alpha", "beta", "gamma", "delta")
+    inner = "<div id=content><h1>Title {0}</h1><p>Lead {0}</p><div class=entry>{1}</div><p>End {0}</p></div>"
+    for outer in ("<html><body><nav>Home</nav>{}<footer>site</footer></body></html>", "<html><body><h2>Site</h2><main>{}</main></body></html>"):
+        texts = html_wrapper.extract([outer.format(inner.format(w, f"<p>{w} prose of the body</p>" * 9)) for w in words])
+        assert texts == ["\n\n".join([f"Title {w}", f"Lead {w}", *[f"{w} prose of the body"] * 9, f"End {w}"]) for w in words]
+
+
 def test_rolling_hashes_of_one_long_conversation(spark):
     rows = [(1, k, "user", str(k)) for k in range(5000)] + [(2, k, "user", str(k)) for k in range(4000)]
     got = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
