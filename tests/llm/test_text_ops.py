@@ -115,6 +115,31 @@ def test_nothing_beside_the_body_container_is_lost():
         assert texts == ["\n\n".join([f"Title {w}", f"Lead {w}", *[f"{w} prose of the body"] * 9, f"End {w}"]) for w in words]
 
 
+ARTICLE = "<h1>Title</h1><p>First of the article.</p><p>Second.</p>"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        '<body class="no-sidebar"><nav>x</nav>{}</body>',
+        '<body class="sidebar"><div>{}</div></body>',
+        '<body><main class="content has-sidebar">{}<div class="share-links">Share</div></main></body>',
+        '<body><article class="post has-comments">{}<div id=comments class=comments-area><p>me too</p></div></article></body>',
+        '<body><div id="share-page">{}</div></body>',
+        '<body><div class="sidebar-layout"><div class="left-sidebar">Short side</div>{}</div></body>',
+        '<body><form id="aspnetForm"><div class="site-header">Site</div>{}<div class="comment-list">me too</div></form><form>Search us</form></body>',
+    ],
+)
+def test_names_of_page_wide_elements_lose_no_article(html):
+    assert html_wrapper.extract([html.format(ARTICLE)]) == ["Title\n\nFirst of the article.\n\nSecond."]
+
+
+def test_furniture_by_name_goes_even_where_it_is_longer_than_the_article():
+    rest = '<div class="comment-list">{0}</div><div class="comments">{0}</div><form>Mail us</form><div class="top-ad">Buy</div>'.format("<p>a long comment of a reader</p>" * 9)
+    assert html_wrapper.extract([f"<body><div>{ARTICLE}</div>{rest}</body>"]) == ["Title\n\nFirst of the article.\n\nSecond."]
+    assert html_wrapper.extract([f'<body><div class="{c}">Buy</div><article></article></body>' for c in ("ad", "top-ad")]) == ["", ""]
+
+
 def test_rolling_hashes_of_one_long_conversation(spark):
     rows = [(1, k, "user", str(k)) for k in range(5000)] + [(2, k, "user", str(k)) for k in range(4000)]
     got = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
