@@ -140,6 +140,15 @@ def test_furniture_by_name_goes_even_where_it_is_longer_than_the_article():
     assert html_wrapper.extract([f'<body><div class="{c}">Buy</div><article></article></body>' for c in ("ad", "top-ad")]) == ["", ""]
 
 
+def test_text_after_a_closed_deep_nest_stays_in_the_article():
+    nest = "<div>" * 300 + "<p>deep</p><nav><div>menu</nav><ul><li>one<li>two</ul><p>open" + "</div>" * 300
+    page = "<html><body><p>Site line</p><div id=page><article><p>Before {0}</p>{1}<p>After {0}</p></article></div></body></html>"
+    got = html_wrapper.extract([page.format(w, nest if w == "d" else "") for w in "abcd"])
+    assert got == [*(f"Before {w}\n\nAfter {w}" for w in "abc"), "Before d\n\ndeep\n\none\n\ntwo\n\nopen\n\nAfter d"]
+    got = html_wrapper.extract([f"<html><body><article><p>Before</p>{'<div>' * 300}deep</article><p>beside</p>{'</div>' * 300}</body></html>"])
+    assert got == ["Before\n\ndeep"]
+
+
 def test_rolling_hashes_of_one_long_conversation(spark):
     rows = [(1, k, "user", str(k)) for k in range(5000)] + [(2, k, "user", str(k)) for k in range(4000)]
     got = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
