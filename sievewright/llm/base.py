@@ -33,13 +33,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 _own_folder: list[str] = []
+#: Tables that are still there, in the order they were written.
+_tables: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset and all tasks run
+    in this process. A cluster without it is refused: executors would write to disks of their own, and tables read as empty."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="sievewright-"))
     return _own_folder[0]
@@ -54,17 +59,33 @@ def cut(df: DataFrame) -> DataFrame:
     spark = session(df)
     path = f"{shared_folder(spark)}/sievewright/{uuid.uuid4().hex}"
     schema = df.schema
+    if not _tables:
+        atexit.register(_remove_all, spark)
+    _tables.append(path)
     df.write.parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    atexit.register(_remove, jvm, conf, path)
     return spark.read.schema(schema).parquet(path)
 
 
-def _remove(jvm, conf, path: str) -> None:
-    """Free the table at the end of the process; a session that has gone already leaves it to the cluster."""
+def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """cut(build()), after which the tables that build wrote on its way are removed: a long session needn't keep them."""
+    before = len(_tables)
+    out = cut(build())
+    for path in _tables[before:-1]:
+        _remove(spark, path)
+    del _tables[before:-1]
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _remove_all(spark: SparkSession) -> None:
+    """Free the tables at the end of the process; a session that has gone already leaves them to the cluster."""
     try:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        for path in _tables:
+            _remove(spark, path)
     except Exception:  # noqa: BLE001  the gateway is closed
         return
 
@@ -104,10 +125,39 @@ def bounded(ids: DataFrame) -> DataFrame:
 
 
 def without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id some row of verdicts (doc_id, kept) drops. Rows with a null doc_id stay."""
-    dropped = cut(verdicts.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct())
+    """docs without the rows whose doc_id has a verdict (doc_id, kept) that drops it; doc_ids are unique and not null."""
+    dropped = cut(verdicts.where("not kept").select(F.col("doc_id").alias("_gone")))
     return docs.join(bounded(dropped), docs["doc_id"] == dropped["_gone"], "left_anti")
 
 
+def repeated_ids(docs: DataFrame, nulls: bool = False) -> bool:
+    """Whether a doc_id stands in several rows or, with nulls, in none."""
+    of_id = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n"))
+    return not of_id.where(("n > 1 or doc_id is null") if nulls else ("n > 1 and doc_id is not null")).isEmpty()
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(nth, row): docs' rows as structs under unique numbers that go up with doc_id, null last. Rows of one doc_id, however
+    many, are spread over tasks."""
+    from .ranking import positions
+
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("_doc"), F.col("doc_id").isNull().alias("_none"), F.monotonically_increasing_id().alias("_salt"))
+    return cut(positions(rows, ["_none", "_doc", "_salt"]).select(F.col("position").alias("nth"), "row"))
+
+
+def keep_judged(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of docs that judge keeps, with docs' columns. judge takes (doc_id, text) and returns (doc_id, kept) for each row.
+
+    Every row is judged by its own text and stands for itself. Where doc_ids repeat or are null, judge sees numbers in their
+    place that are unique and go up with doc_id, null last: no text is lost because another row has its doc_id, and of rows
+    that are alike in everything one stays.
+    """
+    if not repeated_ids(docs, nulls=True):
+        return without(docs, judge(docs.select("doc_id", "text")))
+    rows = numbered(docs)
+    dropped = cut(judge(rows.select(F.col("nth").alias("doc_id"), F.col("row.text").alias("text"))).where("not kept").select(F.col("doc_id").alias("_gone")))
+    return rows.join(bounded(dropped), rows["nth"] == dropped["_gone"], "left_anti").select("row.*")
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -34,13 +34,14 @@ def _small_star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node of links; component is the least node reachable. Nodes without links aren't returned.
 
-    Rounds end when the edge table, a set of stars by then, no longer changes. No link or label leaves the executors; the
-    driver sees a count and a checksum a round. Nulls and loops are dropped, repeated links are one.
+    Rounds go on until the edge table, a set of stars by then, no longer changes: about the square of the logarithm of the
+    longest chain, and no result is returned before. No link or label leaves the executors; the driver sees a count and a
+    checksum a round. Nulls and loops are dropped, repeated links are one.
     """
     edges = links.select(F.greatest(a, b).alias("src"), F.least(a, b).alias("dst")).where("src is not null and dst is not null and src <> dst").distinct()
     edges = cut(edges)
     seen, large = None, edges.count() >= WRITE_FROM
-    for _ in range(64):
+    while True:
         edges = cut(_small_star(_large_star(edges, large), large))
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("s")).first()
         if (now["n"], now["s"]) == seen or not now["n"]:

@@ -17,13 +17,19 @@ def normalised(text: Column) -> Column:
     return text
 
 
+def _best() -> Column:
+    """The longest row's length and the complement of its doc_id, which goes down as doc_id goes up and, unlike -doc_id, always exists."""
+    return F.max(F.struct(F.col("length"), F.bitwise_not("doc_id").alias("not_id"))).alias("best")
+
+
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for each row of docs (doc_id, text; further columns don't matter).
 
     Texts are equal if their normal forms, without any white space, are; a null text counts as empty. Of equal texts the
     row with the most code points in its original text stays, then the one with the smallest doc_id; a null doc_id comes
-    last, and keep_id is null only if all ids of a group are. Rows that repeat the doc_id which stays are all kept. An empty
-    table gives an empty result.
+    last, and keep_id is null only if all ids of a group are. doc_id names a document, so rows that repeat the doc_id which
+    stays are all kept here; base.keep_judged, which the pipeline goes by, keeps one of them. Any 64-bit doc_id will do. An
+    empty table gives an empty result.
 
     The group key is the first 128 bits of the normal form's SHA-256. Groups are formed over (key, normal form), so that
     the hash aggregation itself compares bytes: a text goes over the network once for each task that holds it, copies are
@@ -33,8 +39,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     text = text_or_empty()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).alias("length"), normalised(text).alias("norm"))
     rows = rows.withColumn("text_sha256", F.sha2("norm", 256)).withColumn("key", F.unhex(F.substring("text_sha256", 1, 32)))
-    best = F.max(F.struct(F.col("length"), (-F.col("doc_id")).alias("minus"))).alias("best")
-    groups = cut(rows.groupBy("key", "norm").agg(best, F.count("*").alias("group_size")).select("key", F.sha2("norm", 256).alias("sha"), (-F.col("best.minus")).alias("keep_id"), "group_size"))
+    groups = cut(rows.groupBy("key", "norm").agg(_best(), F.count("*").alias("group_size")).select("key", F.bitwise_not("best.not_id").alias("keep_id"), "group_size"))
     apart = groups.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key")
     of_row = rows.select("doc_id", "key", "text_sha256")
     if apart.isEmpty():
@@ -49,7 +54,6 @@ def _by_bytes(rows: DataFrame, of_row: DataFrame, groups: DataFrame, apart: Data
     """Some 128-bit keys stand for several texts: rows of such keys are grouped again by the bytes of their texts."""
     plain = of_row.join(apart, "key", "left_anti").join(groups.select("key", "keep_id", "group_size"), "key")
     odd = rows.join(apart, "key", "left_semi")
-    best = F.max(F.struct(F.col("length"), (-F.col("doc_id")).alias("minus"))).alias("best")
-    of_text = odd.groupBy("key", "norm").agg(best, F.count("*").alias("group_size"))
-    told = odd.join(of_text.withColumn("keep_id", -F.col("best.minus")).drop("best"), ["key", "norm"])
+    of_text = odd.groupBy("key", "norm").agg(_best(), F.count("*").alias("group_size"))
+    told = odd.join(of_text.withColumn("keep_id", F.bitwise_not("best.not_id")).drop("best"), ["key", "norm"])
     return plain.unionByName(told.select("key", "doc_id", "text_sha256", "keep_id", "group_size"))

@@ -18,7 +18,8 @@ HASH_BITS = sum(LEVEL_BITS)
 
 
 def _hash(seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), 64 - HASH_BITS)
+    """Of doc_id and text, so that unlike texts of one doc_id, or of none, are taken or left each for itself."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), text_or_empty()), 64 - HASH_BITS)
 
 
 def sized(docs: DataFrame, seed: int = 11, source: str = "source") -> DataFrame:
@@ -82,8 +83,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
     taken is the words that the mix takes of the document: whole multiples of its size. All documents of a source are taken
     as often as its target holds the source whole, and those under the source's hash threshold once more. The sum differs
-    from the target by at most half of one document, the one at the threshold; rows that repeat a doc_id share its hash and
-    stand or fall together. Null and empty texts have size 0 and take nothing; a null source is one of its own; an empty
+    from the target by at most half of one document, the one at the threshold. Rows alike in doc_id and text share a hash and
+    stand or fall together, as one document of their joint size; with a null doc_id the text alone decides. Null and empty texts have size 0 and take nothing; a null source is one of its own; an empty
     table gives an empty result.
     """
     rows = cut(sized(docs, seed, source))

@@ -11,9 +11,11 @@ No list is expanded into all its pairs:
    contracted, so that groups of copies become single components after linear work.
 3. Only pairs of different components remain. A list with at most FEW of these emits them.
 4. Longer lists come from passages that many unlike documents share. A document of which they hold no more than a quarter
-   has values enough in short lists. The others, few by then, are joined by prefix filter: with the shingles of each in
-   order of their number of documents, two sets as similar as asked must meet within the first n - ceil(t * n) + 1, and not
-   later than their sizes allow. This is exact and leaves shared passages to the end, where they need not be looked up.
+   has values enough in short lists. The others are joined by prefix filter: with the shingles of each in order of their
+   number of documents, two sets as similar as asked must meet before what is left of either is too little. This is exact
+   and leaves shared passages to the end, where they need not be looked up. Shingles that lie in the same documents are one
+   token with a weight, and where many documents meet in one token, they are dealt out again by the next token that they
+   have in common, as often as it takes (`_dense_pairs`).
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import bounded, cut, in_batches, text_or_empty
+from .base import bounded, cut, in_batches, numbered, repeated_ids, text_or_empty
 from .components import connected_components
 from .textkit import Words, mix, shingles
 
@@ -33,7 +35,7 @@ KEYS = 24
 #: Pairs of different components up to which a list emits them.
 FEW = 512
 #: A share of common values in the union's bottom K below which a pair is no candidate; at a similarity of .75 the chance of
-#: 28 or fewer of 64 is below 10**-6.
+#: 28 or fewer of 64 is about 10**-7.
 LEAST_ESTIMATE = 0.44
 
 
@@ -133,8 +135,8 @@ def _stars(lists: DataFrame, threshold: int) -> DataFrame:
     """(a, b), a the leader: the member of each list that shares the most values with others, by its lists' lengths."""
     shared = lists.groupBy("cls").agg(F.sum("members").alias("shared"))
     known = lists.join(shared, "cls")
-    leaders = cut(known.groupBy("value").agg(F.max(F.struct("shared", (-F.col("cls")).alias("minus"), "n", "comp")).alias("lead")))
-    pairs = lists.join(leaders, "value").select((-F.col("lead.minus")).alias("a"), F.col("cls").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"), F.col("lead.comp").alias("ca"), F.col("comp").alias("cb"))
+    leaders = cut(known.groupBy("value").agg(F.max(F.struct("shared", F.bitwise_not("cls").alias("not_cls"), "n", "comp")).alias("lead")))
+    pairs = lists.join(leaders, "value").select(F.bitwise_not("lead.not_cls").alias("a"), F.col("cls").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"), F.col("lead.comp").alias("ca"), F.col("comp").alias("cb"))
     return pairs.where("ca <> cb").where(_sized(threshold)).select("a", "b").distinct()
 
 
@@ -150,28 +152,74 @@ def _relabel(lists: DataFrame, links: DataFrame) -> DataFrame:
     return lists.select("value", "cls", "n").join(comp, "cls", "left").select("value", "cls", "n", F.coalesce("component", "cls").alias("comp"))
 
 
-def _dense_pairs(dense: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Pairs of different components among the classes (cls, n, comp) of dense, by exact prefix filter on full sets."""
+def _tokens(dense: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """dense (cls, n, comp) with tokens, an array of (df, token, w, left), rarest first; left is the weight of a token and all after it.
+
+    A token stands for all shingles that lie in the same documents, w of them. Shingles of one document only are left out.
+    """
 
     def work(batch: pa.RecordBatch) -> dict:
         sets = shingles(Words(batch.column("text"), lower=True), width)
         counts = np.array([len(s) for s in sets], np.int64)
         flat = (np.concatenate(sets) if sets else np.zeros(0, np.uint64)).view(np.int64)
-        ids = np.repeat(batch.column("id").to_numpy(), counts)
-        return {"cls": ids, "shingle": flat}
-
-    ids = dense.select(F.col("cls").alias("id"))
-    sets = cut(in_batches(_texts(docs, ids), "cls long, shingle long", work, max_bytes=1 << 19, by="text"))
-    held = sets.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    often = sets.join(held, "shingle").join(dense, "cls")
-    of_class = Window.partitionBy("cls")
-    place, size = F.row_number().over(of_class.orderBy("df", "shingle")), F.count("*").over(of_class)
-    ranked = often.withColumn("pos", F.col("n") - size + place - 1)
-    prefix = cut(ranked.where(f"pos <= n - ceil({threshold} * n / 100.0)").select("shingle", "cls", "n", "comp", "pos"))
-    left = prefix.select("shingle", *(F.col(c).alias(x) for c, x in (("cls", "a"), ("n", "na"), ("comp", "ca"), ("pos", "pa"))))
-    right = prefix.select("shingle", *(F.col(c).alias(x) for c, x in (("cls", "b"), ("n", "nb"), ("comp", "cb"), ("pos", "pb"))))
-    met = left.join(right, "shingle").where("a < b and ca <> cb").where(_sized(threshold))
-    return met.where(f"(100 + {threshold}) * least(na - pa, nb - pb) >= {threshold} * (na + nb)").select("a", "b").distinct()
+        return {"cls": np.repeat(batch.column("id").to_numpy(), counts), "shingle": flat}
+
+    sets = cut(in_batches(_texts(docs, dense.select(F.col("cls").alias("id"))), "cls long, shingle long", work, max_bytes=1 << 19, by="text"))
+    of = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "cls"))
+    held = cut(sets.groupBy("shingle").agg(F.count("*").alias("df"), of(3).alias("h1"), of(5).alias("h2")).where("df > 1"))
+    weighed = sets.join(held, "shingle").groupBy("cls", "df", "h1", "h2").agg(F.count("*").alias("w"), F.min("shingle").alias("token"))
+    listed = weighed.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "token", "w"))).alias("t"))
+    weights = F.transform("t", lambda x: x["w"])
+    lefts = F.transform("t", lambda x, i: F.struct(x["df"], x["token"], x["w"], F.aggregate(F.slice(weights, i + 1, F.size("t")), F.lit(0).cast("long"), lambda a, w: a + w).alias("left")))
+    return cut(listed.select("cls", lefts.alias("tokens")).join(dense, "cls"))
+
+
+def _need(threshold: int, n: str, other: str) -> str:
+    """SQL of the least intersection of sets of these sizes that is similar enough."""
+    return f"cast(ceil({threshold} * ({n} + {other}) / {100.0 + threshold} - 1e-9) as long)"
+
+
+def _dense_pairs(tokens: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): the pairs of different components that the tokens (see _tokens) don't rule out, and pairs that join the same components.
+
+    A row says that a class has the tokens of a key, of weight `have`, the last of them at place `at`. It is there if `have`
+    and what is left after `at` are enough for a partner of any size, so two similar sets have rows under the key of the
+    first tokens that they share, whatever its length. Keys of few rows, or of fewer pairs than rows that the next step would
+    make, emit their pairs. In the others the smallest set leads: a member whose `have` is enough for the leader is tied to
+    it, and two such members are in one component by that. A member that isn't tied must share a further token with any
+    partner, so the key's rows go on to keys one token longer. No key emits all pairs of many rows: what many share is taken
+    apart until few share it, or what they share is enough.
+    """
+    alone = f"cast(ceil({threshold} * n / 100.0 - 1e-9) as long)"
+    after = lambda start: F.posexplode(F.slice("tokens", start + 1, F.size("tokens"))).alias("ahead", "t")
+    next_row = ["cls", "n", "comp", "at", "have", (F.col("t.left") - F.col("t.w")).alias("rest"), (F.size("tokens") - F.col("at") - 1).alias("more")]
+    rows = tokens.select("*", after(F.lit(0))).where(f"t.left >= {alone}").withColumns({"at": F.col("ahead"), "have": F.col("t.w")}).select(F.col("t.token").alias("key"), *next_row)
+    found = []
+    while True:
+        rows = cut(rows)
+        of_key = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum("more").alias("grow"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("n", "cls", "comp")).alias("lead"))
+        of_key = cut(of_key.where("lo <> hi").select("key", "lead", F.expr(f"m <= {FEW} or m * (m - 1) <= 2 * grow").alias("few")))
+        met = cut(rows.join(of_key, "key"))
+        left = met.where("few").select("key", "have", *(F.col(c).alias(x) for c, x in (("cls", "a"), ("n", "na"), ("comp", "ca"), ("rest", "ra"))))
+        right = met.where("few").select("key", *(F.col(c).alias(x) for c, x in (("cls", "b"), ("n", "nb"), ("comp", "cb"), ("rest", "rb"))))
+        pairs = left.join(right, "key").where("a < b and ca <> cb").where(_sized(threshold)).where(f"have + least(ra, rb) >= {_need(threshold, 'na', 'nb')}")
+        many = met.where("not few").withColumn("tied", F.expr(f"have >= {_need(threshold, 'n', 'lead.n')}"))
+        ties = many.where("tied and comp <> lead.comp").select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b"))
+        found.append(cut(pairs.select("a", "b").unionByName(ties).distinct()))
+        going = cut(many.where("not tied").select("key").distinct())
+        if going.isEmpty():
+            return _all(found).distinct()
+        # No partner is smaller than the leader, nor than the share of n that is asked for.
+        on = many.join(going, "key").withColumn("least", F.expr(f"greatest({alone}, {_need(threshold, 'n', 'lead.n')})")).join(tokens.select("cls", "tokens"), "cls")
+        on = on.select("*", after(F.col("at") + 1)).where("have + t.left >= least").withColumns({"key": F.xxhash64("key", "t.token"), "at": F.col("at") + 1 + F.col("ahead"), "have": F.col("have") + F.col("t.w")})
+        rows = on.select("key", *next_row)
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75) -> DataFrame:
@@ -180,10 +228,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75) -> Dat
     Links join documents whose distinct shingles have 100 * intersection >= threshold * union. component_id is the least
     doc_id reachable over links, kept is doc_id = component_id. Null and empty texts, and texts without words, have an
     empty set and are linked with nothing; a text of fewer words than width has its whole sequence as one shingle. Rows
-    with a null doc_id are nobody's copy: component_id null, kept true. Rows that repeat a doc_id share its verdict.
-    An empty table gives an empty result. Texts of any length are read whole. threshold is 60 or more: KEYS and
-    LEAST_ESTIMATE are set for 75.
+    with a null doc_id are nobody's copy: component_id null, kept true. Rows that repeat a doc_id are judged each by its own
+    text, so that unlike texts of one doc_id may have different components. An empty table gives an empty result. Texts of
+    any length are read whole. threshold is 60 or more: KEYS and LEAST_ESTIMATE are set for 75.
     """
+    if not repeated_ids(docs):
+        return _judged(docs, width, threshold)
+    rows = numbered(docs.select("doc_id", "text"))
+    judged = _judged(rows.select(F.when(F.col("row.doc_id").isNotNull(), F.col("nth")).alias("doc_id"), F.col("row.text").alias("text")), width, threshold)
+    names = cut(rows.select("nth", F.col("row.doc_id").cast("long").alias("name")))
+    told = judged.join(names.toDF("doc_id", "_own"), "doc_id", "left").join(names.toDF("component_id", "_least"), "component_id", "left")
+    return told.select(F.col("_own").alias("doc_id"), "n_shingles", F.col("_least").alias("component_id"), F.coalesce(F.col("_own") == F.col("_least"), F.lit(True)).alias("kept"))
+
+
+def _judged(docs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """near_duplicates of documents whose doc_ids, but for null, are unique: the least of a class names it."""
     described = cut(describe(docs, width))
     classes = cut(described.where("n > 0 and doc_id is not null").groupBy("sig1", "sig2", "n").agg(F.min("doc_id").alias("cls"), F.first("sketch").alias("sketch")))
     keys = classes.select(F.explode(F.slice("sketch", 1, KEYS)).alias("value"), "cls", "n", F.col("cls").alias("comp"))
@@ -200,7 +259,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75) -> Dat
     b = few.select("value", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     short = a.join(b, "value").where("a < b and ca <> cb").where(_sized(threshold)).select("a", "b").distinct()
     dense = cut(many.groupBy("cls", "n", "comp").agg(F.count("*").alias("hot")).where(f"4 * hot > least(n, {KEYS})").select("cls", "n", "comp"))
-    pairs = short.unionByName(_dense_pairs(dense, docs, width, threshold)).distinct()
+    pairs = short.unionByName(_dense_pairs(_tokens(dense, docs, width), threshold)).distinct()
     found.append(_links(pairs, classes, docs, width, threshold))
 
     comps = connected_components(found[0].unionByName(found[1]).unionByName(found[2])).select(F.col("node").alias("cls"), "component")

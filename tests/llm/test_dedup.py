@@ -136,3 +136,87 @@ def test_exact_empty_null_ids_repeats_and_clashing_columns(spark):
     odd = docs(spark, ["a", "a", "a", "b"], [5, 5, None, None]).selectExpr("*", "1 as key", "2 as norm", "3 as best", "4 as length")
     got = sorted(((str(r["doc_id"]), r["keep_id"], r["group_size"], r["kept"]) for r in exact_duplicates(odd).collect()), key=repr)
     assert got == [("5", 5, 3, True), ("5", 5, 3, True), ("None", 5, 3, False), ("None", None, 1, True)]
+
+
+LEAST, MOST = -(2**63), 2**63 - 1
+
+
+def test_exact_takes_any_doc_id(spark):
+    ids = [LEAST, MOST, 0, -1, LEAST, MOST]
+    texts = ["a b", "ab", "a b", "c", "c", "d"]
+    got = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact_duplicates(docs(spark, texts, ids)).collect())
+    assert got == brute_exact(list(zip(ids, texts, strict=True)))
+
+
+def test_near_takes_any_doc_id_and_judges_repeated_ones_by_their_own_texts(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue black white grey")
+    rows = [(3, a), (5, a), (5, b), (7, b), (LEAST, c), (MOST, c), (9, a + " more words here"), (9, "one two three four five six"), (None, a), (11, None)]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(docs(spark, [t for _, t in rows], [i for i, _ in rows])).collect()), key=repr)
+    want = [(3, 2, 3, True), (5, 2, 3, False), (5, 2, 5, True), (7, 2, 5, False), (LEAST, 2, LEAST, True), (MOST, 2, LEAST, False), (9, 5, 9, True), (9, 2, 5, False), (None, 2, None, True), (11, 0, 11, True)]
+    assert got == sorted(want, key=repr)
+
+
+def test_dedup_stages_lose_no_text_and_keep_one_row_of_each(spark):
+    """Repeated, null and extreme ids: the kept rows are those of a plain-Python model over row numbers."""
+    import corpus_pipeline
+
+    rnd = random.Random(6)
+    base = [" ".join(words(rnd, 40)) for _ in range(12)]
+    rows = [(3, "same text here"), (5, "same text here"), (5, "a wholly unique text"), (LEAST, base[0]), (MOST, base[0]), (None, base[1]), (None, base[2]), (None, base[1])]
+    rows += [(rnd.choice([None, 1, 1, 2, 7, 40 + k]), rnd.choice([base[k % 12], base[k % 12].replace(" ", "  "), base[k % 12] + f" end{k % 3}"])) for k in range(60)] + [(8, None), (8, ""), (8, None)]
+    frame = docs(spark, [t for _, t in rows], [i for i, _ in rows]).selectExpr("*", "1 as nth", "2 as row", "3 as position")
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    best = {}
+    for at, k in enumerate(order):
+        key = norm(rows[k][1])
+        best[key] = min(best.get(key, (1, 0)), (-len(rows[k][1] or ""), at))
+    exact = corpus_pipeline.exact_duplicates(spark, frame, "")
+    assert exact.columns == frame.columns
+    got = exact.collect()
+    kept = [rows[order[at]] for _, at in best.values()]
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted(kept, key=repr)
+    near_kept = corpus_pipeline.near_duplicates(spark, frame, "").collect()
+    comps = brute_components([rows[k][1] for k in order])[1]
+    of_text = {rows[k][1]: comps[at] for at, k in enumerate(order)}
+    no_words = [at for at, k in enumerate(order) if not shingle_set(rows[k][1])]
+    assert sorted(of_text[r["text"]] for r in near_kept if shingle_set(r["text"])) == sorted(set(comps) - set(no_words))
+    assert sorted(repr(r["doc_id"]) for r in near_kept) == sorted(repr(rows[order[at]][0]) for at in {*comps, *no_words})
+    empty = frame.limit(0)
+    assert corpus_pipeline.exact_duplicates(spark, empty, "").count() == corpus_pipeline.near_duplicates(spark, empty, "").count() == 0
+
+
+def test_near_texts_assembled_from_few_passages(spark):
+    """Every shingle is shared by many texts: what many share is taken apart by further tokens, and no link is lost."""
+    rnd = random.Random(21)
+    passages_ = [" ".join(words(rnd, 40, 10**6)) for _ in range(12)]
+    texts = [" ".join(rnd.sample(passages_, rnd.choice([4, 5, 6]))) for _ in range(500)]
+    sizes, comps, _ = near(spark, texts)
+    assert (sizes, comps) == brute_components(texts)
+
+
+def test_near_dense_pairs_make_few_rows_of_many_alike_lists(spark):
+    rnd = random.Random(22)
+    passages_ = [" ".join(words(rnd, 60, 10**6)) for _ in range(20)]
+    texts = [" ".join(rnd.sample(passages_, 5)) for _ in range(5000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    dense = near_dedup.describe(rows).selectExpr("doc_id as cls", "n", "doc_id as comp")
+    tokens = near_dedup._tokens(dense, rows, 5)
+    got = {(r["a"], r["b"]) for r in near_dedup._dense_pairs(tokens, 75).collect()}
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in got:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    sets = [shingle_set(t) for t in texts]
+    sample = rnd.sample(range(5000), 60)
+    for i in sample:
+        for j in range(5000):
+            if i != j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                assert find(i) == find(j)
+    assert len(got) < 5000 * 5000 / 2 / 10
