@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sievewright.llm import exact_dedup, mixing, near_dedup, quality_mil, sentencepiece_lattice
-from sievewright.llm.base import cut, read, without
+from sievewright.llm.base import keep_judged, read, settled
 from sievewright.llm.queries import model_file
 
 
@@ -17,13 +17,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return without(docs, exact_dedup.exact_duplicates(docs))
+    """One row of each group of equal texts; rows that repeat a doc_id, or have none, are judged by their own texts."""
+    return keep_judged(docs, exact_dedup.exact_duplicates)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar texts."""
-    return without(docs, near_dedup.near_duplicates(docs))
+    """One row of each component of similar texts; rows that repeat a doc_id, or have none, are judged by their own texts."""
+    return keep_judged(docs, near_dedup.near_duplicates)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = settled(spark, lambda f=stage, d=docs: f(spark, d, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
