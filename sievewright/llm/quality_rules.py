@@ -1,8 +1,9 @@
 """Quality rules with adaptive thresholds.
 
 The counts of a text come from built-in functions on arrays within its row. Their rates are sketched by language and source
-with mergeable quantile sketches, a fence is put around the middle half of each group, and the fences are joined back.
-There is no Python in it, and no row of words: the only shuffles are those of sketches and of the small table of counts.
+with mergeable quantile sketches (KLL). No cutoff is stated: each group's fences stand where its own distribution breaks, at
+a step between neighbouring quantiles that is wide against the group's own spread, and a group without a break loses no row.
+The fences are joined back. There is no Python in it, and no row of words: the only shuffles are those of sketches.
 """
 
 from __future__ import annotations
@@ -15,10 +16,16 @@ from .exact_dedup import normalised
 
 #: Marks that count as symbols. Fixed values.
 SYMBOLS = r"[#*$%&|<>]"
-#: Rates, each with the smallest half width of its fence: where a group's middle half is narrower, this stands for it.
-RATES = {"symbol_rate": 0.06, "dup_line_rate": 0.08, "repeat_rate": 0.16, "word_length": 1.0}
+#: Rates and the counts that they are made of.
+RATES = {"symbol_rate": "n_symbols", "dup_line_rate": "n_dup_lines", "repeat_rate": "n_repeat_words", "word_length": "word_chars"}
 #: Rates that may be too low as well.
 BOTH_SIDES = {"word_length"}
+#: Ranks, in thousandths, of the quantiles that are looked at: percentiles, and finer ones at the ends.
+GRID = [0, 1, 5, *range(10, 1000, 10), 995, 999, 1000]
+#: Ranks whose distance is a group's spread; the next pair counts where that of the one before is 0, as among many copies.
+SPREADS = [(200, 800), (50, 950), (0, 1000)]
+#: Sketches of a group that are merged by one task, before these are merged.
+PARTS = 64
 
 
 def _let(value: Column, body) -> Column:
@@ -72,50 +79,83 @@ def counts(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def rates(rows: DataFrame) -> DataFrame:
-    n = F.greatest(F.col("n_words"), F.lit(1))
-    return rows.withColumns({"symbol_rate": F.col("n_symbols") / n, "dup_line_rate": F.col("n_dup_lines") * 8 / n, "repeat_rate": F.col("n_repeat_words") / n, "word_length": F.col("word_chars") / n})
+    """rows with RATES: logarithms of counts a word. Half a count and a word are added, so that no count has a logarithm too, one
+    that depends on the text's length: groups of which most rows have none still have a spread."""
+    return rows.withColumns({r: F.log((F.col(c) + F.lit(0.5)) / (F.col("n_words") + 1)) for r, c in RATES.items()})
 
 
-def fences(rows: DataFrame, width: float = 3.0, least_rows: int = 50, accuracy: int = 2000) -> DataFrame:
-    """(lang, source, level, n, <rate>_lo, <rate>_hi) for each language and source, each language, and all rows.
+def sketches(rows: DataFrame, k: int = 2048) -> DataFrame:
+    """(lang, source, n, <rate>) of rows as rates() has them: for each group its number of rows and a KLL sketch of each rate.
 
-    A fence lies `width` half widths beyond the quartiles, a half width being the distance of the quartiles but at least the
-    rate's own. Groups under least_rows are left out, so that their rows fall back on the language, then on all rows.
+    A task sends one sketch for each group and rate. They are merged in PARTS parts a group, then these: no task merges the
+    sketches of all others. A sketch's ranks are exact up to k rows of a group, and right to about 0.2 % beyond, by
+    random choices, so that fences can then differ a little from run to run.
     """
-    sketch = [F.percentile_approx(r, F.array(F.lit(0.25), F.lit(0.75)), F.lit(accuracy)).alias(f"_{r}") for r in RATES]
-    groups = rows.rollup("lang", "source").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *sketch).where((F.col("n") >= least_rows) | (F.col("level") == 3))
-    out = ["lang", "source", "level", "n"]
-    for r, least in RATES.items():
-        q1, q3 = F.col(f"_{r}")[0], F.col(f"_{r}")[1]
-        half = F.greatest(q3 - q1, F.lit(least)) * width
-        out += [(q1 - half if r in BOTH_SIDES else F.lit(float("-inf"))).alias(f"{r}_lo"), (q3 + half).alias(f"{r}_hi")]
-    return groups.select(*out)
-
-
-def _inside(level: str) -> Column:
-    ok = F.lit(True)
+    part = F.pmod(F.spark_partition_id(), F.lit(PARTS))
+    parts = rows.groupBy("lang", "source", part.alias("part")).agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(r, k).alias(r) for r in RATES))
+    return _merged(parts, "lang", "source")
+
+
+def _merged(parts: DataFrame, *keys: str) -> DataFrame:
+    return parts.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(r).alias(r) for r in RATES))
+
+
+def _fenced(groups: DataFrame, keys: tuple[str, ...], width: float) -> DataFrame:
+    """(keys, n, <rate>_lo, <rate>_hi) of groups with sketches."""
+    out = [*keys, "n"]
+    ranks = F.array(*(F.lit(g / 1000.0) for g in GRID))
+    last, middle, inf = len(GRID) - 1, GRID.index(500), F.lit(float("inf"))
+
+    def fence(q: Column, spread: Column, up: bool) -> Column:
+        """The middle of the first wide step from the median on, or infinity."""
+        places = range(middle, last) if up else range(middle - 1, -1, -1)
+        wide = F.filter(F.array(*map(F.lit, places)), lambda i: F.get(q, i + 1) - F.get(q, i) > spread * width)
+        return F.coalesce((F.get(q, F.get(wide, 0)) + F.get(q, F.get(wide, 0) + 1)) / 2, inf if up else -inf)
+
+    def fences_of(q: Column) -> Column:
+        spreads = [F.nullif(F.get(q, GRID.index(hi)) - F.get(q, GRID.index(lo)), F.lit(0.0)) for lo, hi in SPREADS]
+        return _let(F.coalesce(*spreads), lambda s: F.struct(fence(q, s, False).alias("lo"), fence(q, s, True).alias("hi")))
+
     for r in RATES:
-        ok = ok & (F.col(r) <= F.col(f"{level}.{r}_hi")) & (F.col(r) >= F.col(f"{level}.{r}_lo"))
-    return ok
+        both = _let(F.kll_sketch_get_quantile_double(r, ranks), fences_of)
+        out += [(both["lo"] if r in BOTH_SIDES else -inf).alias(f"{r}_lo"), both["hi"].alias(f"{r}_hi")]
+    return groups.where("n > 0").select(*out)
+
+
+def fences(groups: DataFrame, width: float = 1.5, least_rows: int = 50) -> DataFrame:
+    """(lang, source, <rate>_lo, <rate>_hi) for each group of sketches().
+
+    The median is inside; the fence on a side is the middle of the first step between neighbouring quantiles of GRID, going
+    out from the median, that is wider than `width` spreads, a spread being the distance of the quantiles of SPREADS. Groups
+    under least_rows have the fences of their language, all sources together, or, if that is under it too, of all rows.
+    """
+    groups = cut(groups)
+    rename = lambda df, tag: df.select(*(F.col(c).alias(f"{tag}_{c}") for c in df.columns))
+    own = _fenced(groups, ("lang", "source"), width)
+    lang = rename(_fenced(_merged(groups, "lang"), ("lang",), width), "of_lang")
+    whole = rename(_fenced(_merged(groups), (), width), "of_all")
+    near = own.join(lang, F.col("lang").eqNullSafe(F.col("of_lang_lang")), "left").join(F.broadcast(whole), F.lit(True), "left")  # one row
+    pick = lambda c: F.when(F.col("n") >= least_rows, F.col(c)).when(F.col("of_lang_n") >= least_rows, F.col(f"of_lang_{c}")).otherwise(F.col(f"of_all_{c}"))
+    return near.select("lang", "source", *(pick(f"{r}_{side}").alias(f"{r}_{side}") for r in RATES for side in ("lo", "hi")))
 
 
-def apply_rules(docs: DataFrame, least_words: int = 50, most_repeated: int = 50, width: float = 3.0, least_rows: int = 50) -> DataFrame:
+def apply_rules(docs: DataFrame, least_words: int = 50, most_repeated: int = 50, width: float = 1.5, least_rows: int = 50) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang, source).
 
     One row for each row of docs (doc_id, text; lang and source where there are such columns, null being a group of its own).
     base_failed: fewer than least_words words, or more than most_repeated per cent of the words in repeated windows. Sketches
     are taken of the other rows; kept is false for base_failed and for rows with a rate beyond its group's fence. Null and
-    empty texts have no words and fail. An empty table gives an empty result. Texts are read whole.
+    empty texts have no words and fail. Repeated rows, and rows of one doc_id, are rows like others. An empty table gives an
+    empty result. Texts are read whole.
     """
     for c in ("lang", "source"):
         docs = docs.withColumn(c, F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string"))
     base = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     rows = cut(counts(docs.select("doc_id", "text", "lang", "source"), ("lang", "source")).withColumn("base_failed", base))
-    all_fences = cut(fences(rates(rows.where("not base_failed")), width, least_rows))
-    own, lang, whole = (all_fences.where(F.col("level") == k) for k in (0, 1, 3))
-    own = own.select(F.col("lang").alias("l0"), F.col("source").alias("s0"), "*").drop("lang", "source").alias("own")
-    lang = lang.select(F.col("lang").alias("l1"), "*").drop("lang", "source").alias("lang1")
-    joined = rates(rows).join(own, F.col("lang").eqNullSafe(F.col("own.l0")) & F.col("source").eqNullSafe(F.col("own.s0")), "left").join(lang, F.col("lang").eqNullSafe(F.col("lang1.l1")), "left")
-    joined = joined.join(F.broadcast(whole.drop("lang", "source").alias("whole")), F.lit(True), "left")  # one row at most
-    verdict = F.when(F.col("own.n").isNotNull(), _inside("own")).when(F.col("lang1.n").isNotNull(), _inside("lang1")).otherwise(F.coalesce(_inside("whole"), F.lit(True)))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & verdict).alias("kept"), "lang", "source")
+    of_group = cut(fences(sketches(rates(rows.where("not base_failed"))), width, least_rows)).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    joined = rates(rows).join(of_group, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    inside = F.lit(True)
+    for r in RATES:
+        inside = inside & F.col(r).between(F.col(f"{r}_lo"), F.col(f"{r}_hi"))
+    # A group without fences has no row that passes the base rules.
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"), "lang", "source")

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sievewright.llm import quality_mil
+from sievewright.llm import quality_rules
 from sievewright.llm.quality_rules import apply_rules, counts
 
 
@@ -50,6 +51,50 @@ def test_rules_keep_clean_texts_and_fences_follow_the_group(spark):
     assert apply_rules(frame.limit(0)).count() == 0
 
 
+def brute_fences(v, width=1.5, both=False):
+    """lo and hi by exact quantiles of plain Python."""
+    v = sorted(v)
+    q = [v[max(0, -(-g * len(v) // 1000) - 1)] for g in quality_rules.GRID]
+    at = quality_rules.GRID.index
+    spread = next((s for lo, hi in quality_rules.SPREADS if (s := q[at(hi)] - q[at(lo)]) > 0), None)
+    wide = [i for i in range(len(q) - 1) if spread and q[i + 1] - q[i] > width * spread]
+    up, down = [i for i in wide if i >= at(500)], [i for i in wide if i < at(500)]
+    middle = lambda i: (q[i] + q[i + 1]) / 2
+    return (middle(down[-1]) if both and down else -np.inf), (middle(up[0]) if up else np.inf)
+
+
+def test_thresholds_come_from_the_group(spark):
+    """The same text passes where its like is the habit and fails where it isn't; fences and verdicts are those of exact quantiles."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9)))
+    text = lambda share: " ".join(word() + ("#" if rnd.random() < share else "") for _ in range(rnd.randint(60, 300)))
+    data = [(i, text(rnd.uniform(0.02, 0.5)), "en", "code") for i in range(120)] + [(200 + i, text(0), "en", "news") for i in range(120)]
+    same = text(0.3)
+    data += [(500, same, "en", "code"), (501, same, "en", "news"), (502, same, "en", None), (503, same, "xx", "tiny"), (504, None, "zz", "none")]
+    data += [(600 + i, "one and the same text of many copies " * 3 + " ".join(f"w{k}" for k in range(60)), "de", "copies") for i in range(80)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string, source string").repartition(5)
+    got = {r["doc_id"]: r for r in apply_rules(frame).collect()}
+    assert got[500]["kept"] and not got[501]["kept"] and not got[501]["base_failed"]
+    rows = {i: (brute(t), lang, source) for i, t, lang, source in data}
+    passing = {i: r for i, r in rows.items() if r[0][0] >= 50 and 100 * r[0][4] <= 50 * r[0][0]}
+    rate = lambda c, k: np.log((c[k] + 0.5) / (c[0] + 1))
+    column = {"symbol_rate": 2, "dup_line_rate": 3, "repeat_rate": 4, "word_length": 1}
+
+    def members(lang, source):
+        own = [r for r in passing.values() if r[1:] == (lang, source)]
+        of_lang = [r for r in passing.values() if r[1] == lang]
+        return own if len(own) >= 50 else of_lang if len(of_lang) >= 50 else list(passing.values())
+
+    for i, r in rows.items():
+        ok = i in passing
+        for name, k in column.items():
+            if ok:
+                lo, hi = brute_fences([rate(m[0], k) for m in members(*r[1:])], both=name == "word_length")
+                ok = lo <= rate(r[0], k) <= hi
+        assert got[i]["kept"] == ok, i
+    assert all(got[600 + i]["kept"] for i in range(80))
+
+
 def corpus(n, seed=1):
     rnd = random.Random(seed)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9)))
