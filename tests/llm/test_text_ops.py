@@ -219,3 +219,66 @@ def test_trees_learn_held_out_urls():
     p = model.probability([u for u, _ in seeds[900:]])
     assert sum((x >= 0.5) == bool(y) for x, (_, y) in zip(p, seeds[900:], strict=True)) / len(p) > 0.97
     assert url_filter.train([]).probability(["http://a.com"])[0] < 0.5
+
+
+PROSE = ("Rivers carry silt to the plain each spring", "Glass cools slowly in the long kiln", "Old maps show two roads across the moor", "Bees return when the lime trees flower", "The ferry leaves at noon from the north pier", "Snow lay on the roofs until late in March", "A bell rang twice and the market opened", "Wool was dyed with madder and weld")
+
+
+def test_constant_nodes_inside_the_article_go():
+    """Eight pages of one host: lines that all of them have are template; a line of some of them, or a word in varying ones, is not."""
+    pages = [f"<body><article><h1>Title {k}</h1><p>Subscribe now to our notice line</p><p><b>Note:</b> {p}.</p><p>{p}, and then {k} more lines.</p>{'<p>Found on some pages</p>' * (k % 2)}<p>Follow us everywhere</p></article></body>" for k, p in enumerate(PROSE)]
+    got = html_wrapper.extract(pages)
+    assert got == ["\n\n".join([f"Title {k}", f"Note: {p}.", f"{p}, and then {k} more lines.", *["Found on some pages"] * (k % 2)]) for k, p in enumerate(PROSE)]
+
+
+def test_versions_of_one_article_are_no_template():
+    """Most of a host's pages hold one article, copied or with a word changed: what they share stays."""
+    body = [f"{p}. {p}." for p in PROSE]
+    pages = [f"<body><nav>{k}</nav><article><h1>Title</h1>{''.join(f'<p>{b} {k if j == k % 8 else 0}</p>' for j, b in enumerate(body))}</article></body>" for k in range(30)]
+    assert html_wrapper.extract(pages) == ["\n\n".join(["Title", *(f"{b} {k if j == k % 8 else 0}" for j, b in enumerate(body))]) for k in range(30)]
+    copies = [f"<body><nav>{k}</nav><article><h1>Title</h1><p>Same text</p></article></body>" for k in range(30)]
+    assert html_wrapper.extract(copies) == ["Title\n\nSame text"] * 30
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        '<body class="post with-sidebar"><article>{}</article></body>',
+        "<body><header><h1>Site</h1></header><article><header>{}</header></article></body>",
+        '<body><div class="social-science">{}</div><div><p>Other prose of the page</p></div></body>'.replace("<div><p>Other prose of the page</p></div>", ""),
+        '<body><article><div class="entry-header"><h1>Title</h1></div><div id="comment-policy"><p>First of the article.</p></div><p>Second.</p><footer>Tags</footer></article></body>',
+        '<body><article><header><nav>x</nav></header><header class="ad">Buy</header>{}<div class="social-share">Tell</div></article></body>',
+    ],
+)
+def test_heads_of_articles_and_harmless_names_stay(html):
+    assert html_wrapper.extract([html.format(ARTICLE)]) == ["Title\n\nFirst of the article.\n\nSecond."]
+
+
+def test_tree_matching_is_the_best_alignment():
+    rnd = random.Random(31)
+
+    def tree(depth):
+        inside = "".join(tree(depth - 1) for _ in range(rnd.randint(0, 3))) if depth else ""
+        return f"<{(tag := rnd.choice(['div', 'ul']))}>{inside}{rnd.choice(['', 'text'])}</{tag}>"
+
+    def best(a, b):
+        if a.label != b.label:
+            return 0
+
+        def rest(i, j):
+            if i == len(a.children) or j == len(b.children):
+                return 0
+            return max(rest(i + 1, j), rest(i, j + 1), best(a.children[i], b.children[j]) + rest(i + 1, j + 1))
+
+        return 1 + rest(0, 0)
+
+    for _ in range(60):
+        a, b = html_wrapper.parse(tree(3)), html_wrapper.parse(tree(3))
+        assert html_wrapper.match(a, b, {})[0] == best(a, b)
+
+
+def test_pages_without_ids_are_dealt_out(spark):
+    rows = [(None, "http://a.com/", page(f"T{k}", f"<p>{p}</p>")) for k, p in enumerate(PROSE * 20)] + [(1, "http://a.com/", page("U", "<p>own</p>"))] * 3
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).selectExpr("*", "1 as spread", "2 as block")
+    got = sorted(r["text"] for r in html_wrapper.extract_pages(frame).collect())
+    assert got == sorted([f"T{k}\n\n{p}" for k, p in enumerate(PROSE * 20)] + ["U\n\nown"] * 3)
