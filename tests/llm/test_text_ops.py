@@ -282,3 +282,26 @@ def test_pages_without_ids_are_dealt_out(spark):
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).selectExpr("*", "1 as spread", "2 as block")
     got = sorted(r["text"] for r in html_wrapper.extract_pages(frame).collect())
     assert got == sorted([f"T{k}\n\n{p}" for k, p in enumerate(PROSE * 20)] + ["U\n\nown"] * 3)
+
+
+def test_url_features_are_the_same_in_columns(spark):
+    urls = [u for u, _ in url_filter.SEED_URLS[::97]] + ["HTTP://A.Com/en//1?x&y=2#a#b", "http://h?q/en/", "org/es/", "http://org/es/x://y#", None, "", "://", "http://É-é.co.uk/%20%C3?", "http://www.a.b.c.d/🤖é" + "x" * 5000, "http://.../"]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    cols = url_filter.lexical_columns(frame["url"])
+    for r in frame.select("page_id", *(c.alias(n) for n, c in cols.items())).collect():
+        numbers, name, suffix = url_filter.lexical(urls[r["page_id"]])
+        assert [r[n] for n in url_filter.LEXICAL] == pytest.approx(numbers) and (r["name"], r["suffix"]) == (name, suffix), urls[r["page_id"]]
+    model = url_filter.train(url_filter.SEED_URLS[::3])
+    got = {r["page_id"]: r["bad"] for r in url_filter.judge(frame, model).collect()}
+    assert [got[i] for i in range(len(urls))] == pytest.approx(model.probability(urls).tolist())
+
+
+def test_trees_judge_names_of_another_vocabulary():
+    """Trained on half of the generator's names, judged on the other half: what is learnt is not a list of words."""
+    model = url_filter.train(url_filter.seed_urls(url_filter.SOLD[::2], url_filter.SUBJECTS[::2]))
+    other = url_filter.seed_urls(url_filter.SOLD[1::2], url_filter.SUBJECTS[1::2], seed=99)
+    p = model.probability([u for u, _ in other])
+    blocked = {label: sum(x >= 0.7 for x, (_, y) in zip(p, other, strict=True) if y == label) / sum(y == label for _, y in other) for label in (0, 1)}
+    assert blocked[1] > 0.75 and blocked[0] < 0.12
+    whole = url_filter.train(url_filter.SEED_URLS)
+    assert all(x < 0.5 for x in whole.probability([f"http://{h}.example.com/en/3" for h in ("free-library", "track-field", "win-farm", "www.cheap-market")]))
