@@ -75,11 +75,17 @@ class Words:
         self.space = space
 
     def hashes(self) -> np.ndarray:
+        return self.spans(self.starts, self.ends)
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+        """Hashes of the bytes from starts to ends, with lower those of A-Z as of a-z."""
         n = len(self.buf)
+        if not n:
+            return np.zeros(0, np.uint64)
         prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[self.buf] * _power_table(_BASE, n), out=prefix[1:])
+        np.cumsum(_BYTES[_LOWER[self.buf] if lower else self.buf] * _power_table(_BASE, n), out=prefix[1:])
         inverse = _power_table(_BASE_INVERSE, n)
-        return mix((prefix[self.ends] - prefix[self.starts]) * inverse[self.starts]) if n else np.zeros(0, np.uint64)
+        return mix((prefix[ends] - prefix[starts]) * inverse[starts])
 
 
 def shingles(words: Words, width: int = 5) -> list[np.ndarray]:

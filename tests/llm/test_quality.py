@@ -127,6 +127,31 @@ def test_classifier_tells_held_out_documents(spark):
     assert kept.columns == ["doc_id", "text", "held_out"] and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["predicted"]}
 
 
+def test_classifier_tells_texts_that_differ_by_words_only(spark):
+    """Good and bad texts have the same lengths, marks and letters' habits; a part of their words is another."""
+    rnd = random.Random(17)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 8)))
+    common, own = [word() for _ in range(400)], {q: [word() for _ in range(150)] for q in (0, 1)}
+    data = [(i, " ".join(rnd.choice(own[q]) if rnd.random() < 0.25 else rnd.choice(common) for _ in range(rnd.randint(60, 300))), q) for i in range(1200) for q in [rnd.randrange(2)]]
+    docs = spark.createDataFrame([r[:2] for r in data], "doc_id long, text string").repartition(4).selectExpr("*", "1 as score", "2 as h", "'x' as y", "3 as n")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in data], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality_mil.classify(docs, labels).collect() if r["held_out"]}
+    assert len(got) > 150 and np.mean([(got[i]["score"] >= 0.5) == q for i, _, q in data if i in got]) > 0.95
+
+
+def test_training_is_bounded(spark):
+    docs = spark.createDataFrame([(k % 7, f"a text {k} " * 40) for k in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(7)], "doc_id long, quality int, toxic int")
+    seen = []
+    real, quality_mil.train = quality_mil.train, lambda x, counts, y, **more: seen.append((len(counts), counts.sum())) or real(x, counts, y, epochs=1, **more)
+    try:
+        quality_mil.fit(docs, labels, max_train=20)
+        quality_mil.fit(docs, labels, max_passages=50)
+    finally:
+        quality_mil.train = real
+    assert seen[0][0] == 20 and 40 < seen[1][1] <= 50
+
+
 def test_classifier_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "a"), (4, "b " * 40_000), (4, "b " * 40_000)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
