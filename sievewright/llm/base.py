@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -90,6 +91,15 @@ def _remove_all(spark: SparkSession) -> None:
         return
 
 
+def release() -> None:
+    """Give memory that Python no longer uses back to the system: workers stay for later stages, and executors are small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def in_batches(df: DataFrame, schema, work: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], max_bytes: int = 1 << 20, by: str | None = None) -> DataFrame:
     """mapInArrow that hands out slices of at most max_bytes of the column `by` (or single rows beyond that)."""
     session(df)
@@ -101,6 +111,7 @@ def in_batches(df: DataFrame, schema, work: Callable[[pa.RecordBatch], pa.Record
                 if out is None:
                     continue
                 yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -8,7 +8,9 @@ path over their sum is not what the model means; its fold merges neighbouring ed
 
 `encode` needs ids for every word of a text at its place. Distinct words grow with the corpus and sending their ids back to
 each document would move more bytes than the texts have, so the relational lattice encodes the most frequent words, a
-dictionary of bounded size, and words beyond it are folded where they are met, by the same lattice in arrays.
+dictionary of bounded size, and words beyond it are folded where they are met, by the same lattice in arrays. The fold of
+a BPE model in Spark's `aggregate` looks through all edges at each merge, so words of more than LONGEST_WORD characters are left
+out of the dictionary too; the fold in arrays takes n log n steps for them.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import in_batches, session, slices, text_or_empty
+from .base import in_batches, release, session, slices, text_or_empty
 
 #: The mark that stands for a blank. Fixed value of the format.
 MARK = "▁"
@@ -35,6 +37,8 @@ APART = "\n\t\r\x0b\x0c"
 DICTIONARY_WORDS = 100_000
 #: Other words that a worker remembers.
 REMEMBERED = 60_000
+#: Characters of the longest words that are put into the dictionary, folded many at once in arrays, and remembered.
+LONGEST_WORD = 48
 
 
 @dataclass
@@ -114,7 +118,8 @@ def _merge(edges: Column, length: Column) -> Column:
 
 
 def encode_words(words: DataFrame, table: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, ids) for each distinct non-empty word of words (word). Blanks are marks already.
+    """(word, ids) for each distinct non-empty word of words (word). Blanks are marks already. A BPE fold's steps go with about the
+    cube of a word's length: words of more than some hundred characters belong to Lattice.
 
     The piece table is as large as the model and is broadcast; words stay where they are dealt out by word, so the group
     needs no second shuffle. A character that is no piece has its bytes' ids (or the unknown id) and joins nothing; to
@@ -139,48 +144,53 @@ def encode_words(words: DataFrame, table: DataFrame, pieces: Pieces) -> DataFram
 
 
 class Lattice:
-    """The same lattice for many words at once, in arrays: an edge table over (word, start, length) and a fold over all words."""
+    """The same lattice for many words at once, in arrays: an edge table over (word, start, length) and a fold over all words.
+
+    Substrings are found by walking a trie of the pieces from every place at once. A step's key is the node and the code
+    point, whole, so that no two steps share one.
+    """
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         order = sorted(set(pieces.scores.values()), reverse=True)
         rank = {s: r for r, s in enumerate(order)}
         self.rank = np.zeros(max(pieces.ids.values(), default=0) + 2, np.int64)
-        names = list(pieces.ids)
-        for n in names:
-            self.rank[pieces.ids[n]] = rank[pieces.scores[n]]
-        self.keys = np.array([self._hash(n) for n in names] + [0], np.uint64)
-        self.found = np.array([*(pieces.ids[n] for n in names), -1], np.int32)
-        self.levels, rest = [], np.arange(len(names))
+        steps: dict[int, int] = {}
+        piece_at = [-1]
+        for name, i in pieces.ids.items():
+            self.rank[i] = rank[pieces.scores[name]]
+            at = 0
+            for c in name:
+                key = at << 21 | ord(c)
+                at = steps.setdefault(key, len(piece_at))
+                if at == len(piece_at):
+                    piece_at.append(-1)
+            piece_at[at] = i
+        self.piece_at = np.array(piece_at, np.int32)
+        self.keys, self.nodes = np.array(list(steps), np.uint64), np.array(list(steps.values()), np.int32)
+        self.levels, rest = [], np.arange(len(steps))
         while len(rest):  # each level takes the keys that have a slot of their own, the others go on to the next one
             step = np.uint64(0x9E3779B97F4A7C15 + 2 * len(self.levels) * 0x1234567)
-            slot = (self.keys[rest] * step) >> np.uint64(46)
+            slot = (self.keys[rest] * step) >> np.uint64(45)
             _, first = np.unique(slot, return_index=True)
-            table = np.full(1 << 18, -1, np.int32)
+            table = np.full(1 << 19, -1, np.int32)
             table[slot[first]] = rest[first]
             self.levels.append((step, table))
             rest = np.delete(rest, first)
 
-    _BASE = 0x100000001B3
-
-    def _hash(self, s: str) -> int:
-        h = 0
-        for c in s:
-            h = (h * self._BASE + ord(c) + 1) % 2**64
-        return h
-
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """Ids of hashes, -1 for none. A hash is sought in the next level only if another one has its slot."""
-        out = np.full(len(h), -1, np.int32)
+    def _step(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The nodes that chars lead to, -1 for none. A key is sought in the next level only if another one has its slot."""
+        key = nodes.astype(np.uint64) << np.uint64(21) | chars
+        out = np.full(len(key), -1, np.int32)
         at = None
         for step, table in self.levels:
-            taken = table[(h * step) >> np.uint64(46)]
+            taken = table[(key * step) >> np.uint64(45)]
             full = np.flatnonzero(taken >= 0)
-            taken, h = taken[full], h[full]
+            taken, key = taken[full], key[full]
             at = full if at is None else at[full]
-            hit = self.keys[taken] == h
-            out[at[hit]] = self.found[taken[hit]]
-            at, h = at[~hit], h[~hit]
+            hit = self.keys[taken] == key
+            out[at[hit]] = self.nodes[taken[hit]]
+            at, key = at[~hit], key[~hit]
             if not len(at):
                 break
         return out
@@ -190,13 +200,13 @@ class Lattice:
             return [self._best_path(w) for w in words]
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         out: list = [()] * len(words)
-        for lo, hi in ((0, 8), (8, 12), (12, 16), (16, 24), (24, 48)):
+        for lo, hi in ((0, 8), (8, 12), (12, 16), (16, 24), (24, LONGEST_WORD)):
             at = np.flatnonzero((lengths > lo) & (lengths <= hi))
             for k in range(0, len(at), 2048):
                 part = at[k : k + 2048]
                 for i, ids in zip(part.tolist(), self._merged([words[i] for i in part], lengths[part], hi), strict=True):
                     out[i] = ids
-        for i in np.flatnonzero(lengths > 48).tolist():
+        for i in np.flatnonzero(lengths > LONGEST_WORD).tolist():
             out[i] = self._long(words[i])
         return out
 
@@ -209,14 +219,15 @@ class Lattice:
         chars[inside.T] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         chars = np.ascontiguousarray(chars.T)
         edge = np.full((most + 1, width, count), -1, np.int32)
-        h = np.zeros((width, count), np.uint64)
+        start, of = np.nonzero(inside)
+        node = np.zeros(len(start), np.int32)
         for size in range(1, most + 1):
-            stay = width - size + 1
-            h = h[:stay] * np.uint64(self._BASE) + chars[size - 1 :] + np.uint64(1)
-            ok = inside[size - 1 :]  # the last place of a substring that begins at the row
-            part = np.full((stay, count), -1, np.int32)
-            part[ok] = self._find(h[ok])
-            edge[size, :stay] = part
+            node = self._step(node, chars[start + size - 1, of])
+            on = node >= 0
+            start, of, node = start[on], of[on], node[on]
+            edge[size, start, of] = self.piece_at[node]
+            more = start + size < n[of]
+            start, of, node = start[more], of[more], node[more]
         none = np.int32(np.iinfo(np.int32).max)
         rank = (self.rank * 64).astype(np.int32)
         cost = np.full((width, count), none)
@@ -317,7 +328,7 @@ def _words_of(text: str, pieces: Pieces) -> list[str]:
 
 
 def frequent_words(docs: DataFrame, pieces: Pieces, most: int = DICTIONARY_WORDS, hold: int = 200_000) -> DataFrame:
-    """(word): about the most frequent words. Tasks count in tables of at most `hold` words and let go of what they saw once or twice, which only makes the choice a little less exact."""
+    """(word): about the most frequent words of up to LONGEST_WORD characters. Tasks count in tables of at most `hold` words and let go of what they saw once or twice, which only makes the choice a little less exact."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -329,10 +340,11 @@ def frequent_words(docs: DataFrame, pieces: Pieces, most: int = DICTIONARY_WORDS
 
         for batch in batches:
             for text in batch.column("text"):
-                seen.update(_words_of(text.as_py(), pieces))
+                seen.update(w for w in _words_of(text.as_py(), pieces) if len(w) <= LONGEST_WORD)
                 if len(seen) > hold:
                     yield out()
         yield out()
+        release()
 
     session(docs)
     counted = docs.select(text_or_empty().alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -342,8 +354,10 @@ def frequent_words(docs: DataFrame, pieces: Pieces, most: int = DICTIONARY_WORDS
 def encode(docs: DataFrame, pieces: Pieces, keep: tuple[str, ...] = ("doc_id",), dictionary_words: int = DICTIONARY_WORDS, check: bool = True) -> DataFrame:
     """docs' columns `keep`, ids array<int>, and with `check` round_trip: the ids decode to the text again.
 
-    Null and empty texts have no ids. A mark in a text is read as a blank, as the format has it. Texts of any length are read
-    whole; the result of a text doesn't depend on other rows or on which words are in the dictionary.
+    Null and empty texts have no ids. A mark in a text is read as a blank, as the format has it. Texts of any length, and words
+    of any length in them, are read whole; the result of a text doesn't depend on other rows or on which words are in the
+    dictionary. Rows that repeat a doc_id, or have none, are rows like others. Columns of docs that aren't in `keep` change
+    nothing, whatever their names. An empty table gives an empty result.
     """
     spark = session(docs)
     frequent = encode_words(frequent_words(docs, pieces, dictionary_words), piece_table(spark, pieces), pieces).toPandas()
@@ -354,7 +368,7 @@ def encode(docs: DataFrame, pieces: Pieces, keep: tuple[str, ...] = ("doc_id",),
         own, dictionary = shared.value
         lattice, known = Lattice(own), dict(dictionary)
         for batch in batches:
-            for part in slices(batch, "_text", 1 << 20):
+            for part in slices(batch, "_text", 1 << 19):
                 texts = part.column("_text").to_pylist()
                 split = [_words_of(t, own) for t in texts]
                 met = set().union(*split)
@@ -362,12 +376,16 @@ def encode(docs: DataFrame, pieces: Pieces, keep: tuple[str, ...] = ("doc_id",),
                     known = dict(dictionary)
                 new = list(met.difference(known))
                 known.update(zip(new, lattice.encode(new), strict=True))
+                long = [w for w in new if len(w) > LONGEST_WORD]
                 coded = [list(chain.from_iterable(map(known.__getitem__, ws))) for ws in split]
                 cols = {c: part.column(c) for c in keep} | {"ids": pa.array(coded, pa.list_(pa.int32()))}
                 if check:
                     cols["round_trip"] = [decode_ids(i, own) == t.replace(MARK, " ") for i, t in zip(coded, texts, strict=True)]
+                for w in long:
+                    del known[w]
                 del texts, split, met, coded
                 yield pa.RecordBatch.from_pydict(cols)
+        release()
 
     rows = docs.select(*keep, text_or_empty().alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])

@@ -1,6 +1,7 @@
 """SentencePiece, HTML, chats and URLs."""
 
 import random
+import time
 
 import pytest
 
@@ -305,3 +306,27 @@ def test_trees_judge_names_of_another_vocabulary():
     assert blocked[1] > 0.75 and blocked[0] < 0.12
     whole = url_filter.train(url_filter.SEED_URLS)
     assert all(x < 0.5 for x in whole.probability([f"http://{h}.example.com/en/3" for h in ("free-library", "track-field", "win-farm", "www.cheap-market")]))
+
+
+def test_long_words_that_occur_often(spark):
+    """An unbroken token of thousands of characters in many documents is encoded in seconds, as the library does it."""
+    tokenizers = pytest.importorskip("public_tokenizers")
+    library = pytest.importorskip("sentencepiece")
+    file = tokenizers.path("piece_bpe_32k.model")
+    pieces, real = sp.load(file), library.SentencePieceProcessor(model_file=file)
+    rnd = random.Random(4)
+    token = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/漢") for _ in range(5000))
+    texts = [f"word {k % 3} {token} {token} end" for k in range(10)] + [token[:n] for n in (47, 48, 49, 50)] * 4
+    docs = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, ids long").repartition(2).selectExpr("*", "1 as _text", "2 as round_trip")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in sp.encode(docs, pieces).collect()}
+    assert time.perf_counter() - began < 60
+    assert all(got[k]["ids"] == real.encode(t) and got[k]["round_trip"] for k, t in enumerate(texts))
+
+
+def test_trie_tells_far_apart_code_points(spark):
+    names = ["a", "\U0010ffff", "\U0010ffffa", "a\U0010ffff", "\U0001f600\U0001f601", "\U0001f600", "\x01", "\x01\x02"]
+    pieces = sp.Pieces("bpe", {n: k + 1 for k, n in enumerate(names)}, {n: -float(k) for k, n in enumerate(names)}, [], 0, [b""] * 9)
+    lattice, rnd = sp.Lattice(pieces), random.Random(2)
+    words = ["".join(rnd.choice("a\U0010ffff\U0001f600\U0001f601\x01\x02b") for _ in range(rnd.randint(1, 20))) for _ in range(300)]
+    assert lattice.encode(words) == [lattice._long(w) for w in words]
