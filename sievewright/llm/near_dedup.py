@@ -34,6 +34,8 @@ K = 64
 KEYS = 24
 #: Pairs of different components up to which a list emits them.
 FEW = 512
+#: Rows up to which a key of the prefix filter may emit its pairs, if going on would make more rows than these.
+PAIR_ROWS = 8192
 #: A share of common values in the union's bottom K below which a pair is no candidate; at a similarity of .75 the chance of
 #: 28 or fewer of 64 is about 10**-7.
 LEAST_ESTIMATE = 0.44
@@ -184,21 +186,21 @@ def _dense_pairs(tokens: DataFrame, threshold: int) -> DataFrame:
 
     A row says that a class has the tokens of a key, of weight `have`, the last of them at place `at`. It is there if `have`
     and what is left after `at` are enough for a partner of any size, so two similar sets have rows under the key of the
-    first tokens that they share, whatever its length. Keys of few rows, or of fewer pairs than rows that the next step would
-    make, emit their pairs. In the others the smallest set leads: a member whose `have` is enough for the leader is tied to
-    it, and two such members are in one component by that. A member that isn't tied must share a further token with any
-    partner, so the key's rows go on to keys one token longer. No key emits all pairs of many rows: what many share is taken
-    apart until few share it, or what they share is enough.
+    first tokens that they share, whatever its length. Keys of few rows emit their pairs, and so do keys of up to PAIR_ROWS
+    if the rows that they would make on their way, about half the square of what is left of each, are more than these
+    pairs. In the others the smallest set leads: a member whose `have` is enough for the leader is tied to it, and two such
+    members are in one component by that. A member that isn't tied must share a further token with any partner, so the
+    key's rows go on to keys one token longer: what many share is taken apart until few share it, or what they share is enough.
     """
     alone = f"cast(ceil({threshold} * n / 100.0 - 1e-9) as long)"
     after = lambda start: F.posexplode(F.slice("tokens", start + 1, F.size("tokens"))).alias("ahead", "t")
-    next_row = ["cls", "n", "comp", "at", "have", (F.col("t.left") - F.col("t.w")).alias("rest"), (F.size("tokens") - F.col("at") - 1).alias("more")]
+    next_row = ["cls", "n", "comp", "at", "have", (F.col("t.left") - F.col("t.w")).alias("rest"), (F.size("tokens") - F.col("at") - 1).cast("long").alias("more")]
     rows = tokens.select("*", after(F.lit(0))).where(f"t.left >= {alone}").withColumns({"at": F.col("ahead"), "have": F.col("t.w")}).select(F.col("t.token").alias("key"), *next_row)
     found = []
     while True:
         rows = cut(rows)
-        of_key = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum("more").alias("grow"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("n", "cls", "comp")).alias("lead"))
-        of_key = cut(of_key.where("lo <> hi").select("key", "lead", F.expr(f"m <= {FEW} or m * (m - 1) <= 2 * grow").alias("few")))
+        of_key = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.expr("more * more")).alias("grow"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("n", "cls", "comp")).alias("lead"))
+        of_key = cut(of_key.where("lo <> hi").select("key", "lead", F.expr(f"m <= {FEW} or (m <= {PAIR_ROWS} and m * (m - 1) <= grow)").alias("few")))
         met = cut(rows.join(of_key, "key"))
         left = met.where("few").select("key", "have", *(F.col(c).alias(x) for c, x in (("cls", "a"), ("n", "na"), ("comp", "ca"), ("rest", "ra"))))
         right = met.where("few").select("key", *(F.col(c).alias(x) for c, x in (("cls", "b"), ("n", "nb"), ("comp", "cb"), ("rest", "rb"))))
@@ -206,13 +208,13 @@ def _dense_pairs(tokens: DataFrame, threshold: int) -> DataFrame:
         many = met.where("not few").withColumn("tied", F.expr(f"have >= {_need(threshold, 'n', 'lead.n')}"))
         ties = many.where("tied and comp <> lead.comp").select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b"))
         found.append(cut(pairs.select("a", "b").unionByName(ties).distinct()))
-        going = cut(many.where("not tied").select("key").distinct())
-        if going.isEmpty():
+        loose = many.where("not tied")
+        if loose.isEmpty():
             return _all(found).distinct()
         # No partner is smaller than the leader, nor than the share of n that is asked for.
-        on = many.join(going, "key").withColumn("least", F.expr(f"greatest({alone}, {_need(threshold, 'n', 'lead.n')})")).join(tokens.select("cls", "tokens"), "cls")
-        on = on.select("*", after(F.col("at") + 1)).where("have + t.left >= least").withColumns({"key": F.xxhash64("key", "t.token"), "at": F.col("at") + 1 + F.col("ahead"), "have": F.col("have") + F.col("t.w")})
-        rows = on.select("key", *next_row)
+        going = many.join(loose.select("key").distinct(), "key").withColumn("least", F.expr(f"greatest({alone}, {_need(threshold, 'n', 'lead.n')})"))
+        on = going.join(tokens.select("cls", "tokens"), "cls").select("*", after(F.col("at") + 1)).where("have + t.left >= least")
+        rows = on.withColumns({"key": F.xxhash64("key", "t.token"), "at": F.col("at") + 1 + F.col("ahead"), "have": F.col("have") + F.col("t.w")}).select("key", *next_row)
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
