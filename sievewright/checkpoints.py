@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
 import tempfile
@@ -12,25 +13,53 @@ from dataclasses import asdict, is_dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_tables: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """spark.checkpoint.dir; a temporary folder only where that is unset and all tasks run in this process.
+
+    A cluster without it is refused: executors would write to disks of their own, and tables would read as empty.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="sievewright-"))
     return _own[0]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to a table in the shared folder and read again, so that a lost executor doesn't cost what came before."""
+    """df written to a table in the shared folder and read again, so that a lost executor doesn't cost what came before.
+
+    The table stays until `clean` or the process's end, as what is returned, and all that is made of it, reads it.
+    """
     path = f"{shared_folder(df.sparkSession)}/sievewright/{uuid.uuid4().hex}"
+    if not _tables:
+        atexit.register(_clean_up, df.sparkSession)
+    _tables.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession, since: int = 0) -> None:
+    """Remove the tables that were cut, but for the first `since`: for long sessions that have written their results."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _tables[since:]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    del _tables[since:]
+
+
+def _clean_up(spark: SparkSession) -> None:
+    try:
+        clean(spark)
+    except Exception:  # noqa: BLE001  the session has gone; the cluster clears its folder
+        return
+
+
 def parameter_key(*groups) -> str:
     """A short hash of everything that a stage's result depends on: all parameters, not a chosen few."""
     plain = [asdict(g) if is_dataclass(g) else g for g in groups]

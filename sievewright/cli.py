@@ -27,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--checkpoints", help="folder in which stages are kept for a later run")
     for group in (Clustering, Dedup, Selection):
         for f in fields(group):
-            p.add_argument(f"--{group.__name__.lower()}-{f.name.replace('_', '-')}", type=type(f.default), default=f.default)
+            p.add_argument(f"--{group.__name__.lower()}-{f.name.replace('_', '-')}", type=int if f.default is None else type(f.default), default=f.default)
     return p
 
 

@@ -30,4 +30,4 @@ class NoTarget(CurationError):
 
 
 class ComponentTooLarge(CurationError):
-    """A component is larger than one task may hold."""
+    """A component is larger than the limit that was set."""

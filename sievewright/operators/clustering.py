@@ -1,8 +1,10 @@
 """Identities from embeddings: exact complete linkage, centroid merging, numbering and the choice of a target.
 
 A complete-linkage cluster needs every pair under the threshold, so no cluster crosses a component of the threshold graph.
-The graph's edges come from blocked matrix products, block against block, its components from rounds of joins, and each
-component is agglomerated in a task of its own.
+Links that span the graph come from blocked matrix products, block against block, its components from rounds of joins. Small
+components are agglomerated in a task each. In larger ones all pairs of clusters that are each other's nearest merge at
+once, round by round, with distances from blocked products again: complete linkage gives the same clusters in any order of
+such merges, as a merge brings no other clusters nearer. No task holds more than two blocks, and no component is refused.
 """
 
 from __future__ import annotations
@@ -26,25 +28,42 @@ def unit_rows(a: np.ndarray, epsilon: float = 1e-8) -> np.ndarray:
     return a / (np.sqrt((a * a).sum(axis=1, keepdims=True)) + epsilon)
 
 
-def complete_linkage(vectors: np.ndarray, limit: float) -> np.ndarray:
-    """Labels of the agglomeration that merges the nearest two clusters while their farthest members are nearer than limit.
+def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances, to twelve places, so that a pair's doesn't depend on the block it is computed in."""
+    return np.round(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0), 12)
+
+
+def farthest(x: np.ndarray, of_x: np.ndarray, y: np.ndarray, of_y: np.ndarray, cells: int = 1 << 22) -> np.ndarray:
+    """The largest squared distance between the members of each cluster of x and each of y. of_x, of_y: sorted numbers of the
+    rows' clusters, from 0. Worked on in strips of rows, so that no matrix of all rows is made."""
+    out = np.zeros((of_x[-1] + 1, of_y[-1] + 1))
+    starts = np.flatnonzero(np.r_[True, of_y[1:] != of_y[:-1]])
+    rows = max(1, cells // len(y))
+    for k in range(0, len(x), rows):
+        d, own = np.maximum.reduceat(squares(x[k : k + rows], y), starts, axis=1), of_x[k : k + rows]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        out[own[first]] = np.maximum(out[own[first]], np.maximum.reduceat(d, first, axis=0))
+    return out
+
 
-    Each cluster knows its nearest one of a higher number; a merge costs a row. Ties go to the lowest numbers.
+def agglomerate(d: np.ndarray, limit: float) -> np.ndarray:
+    """Labels of the agglomeration that merges the nearest two clusters while they are nearer than limit, d[i, j] being the largest
+    distance between members of i and j; d is used up. Ties go to the lowest numbers.
+
+    Each cluster knows its nearest one; a merge costs a row.
     """
-    n = len(vectors)
+    n = len(d)
     label = np.arange(n)
     if n < 2:
         return label
-    square = (vectors * vectors).sum(1)
-    d = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * vectors @ vectors.T, 0))
     np.fill_diagonal(d, np.inf)
     alive = np.ones(n, bool)
     near = d.argmin(1)
     dist = d[np.arange(n), near]
-    while alive.sum() > 1:
-        i = int(np.where(alive, dist, np.inf).argmin())
+    while True:
+        i = int(dist.argmin())
         if not dist[i] < limit:
-            break
+            return label
         j = int(near[i])
         i, j = min(i, j), max(i, j)
         label[label == j] = i
@@ -56,88 +75,202 @@ def complete_linkage(vectors: np.ndarray, limit: float) -> np.ndarray:
         for k in {*again.tolist(), i}:
             near[k] = d[k].argmin()
             dist[k] = d[k, near[k]]
-    return label
+
+
+def complete_linkage(vectors: np.ndarray, limit: float) -> np.ndarray:
+    """Labels of the complete-linkage clusters of vectors whose farthest members are nearer than limit."""
+    return agglomerate(squares(vectors, vectors), limit * limit) if len(vectors) else np.arange(0)
 
 
 #: Rows of a block in pairwise products: a block pair's matrix of doubles has 32 MB.
 BLOCK_ROWS = 2048
+#: Clusters, and rows in them, of a component that one task agglomerates.
+TASK_CLUSTERS, TASK_ROWS = 2048, 16384
 
 
-def similar_pairs(rows: DataFrame, cosine_above: float, blocks: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(a, b, keys) of `id` pairs of one key whose embeddings are nearer than the threshold's distance, by blocked matrix products.
+def _plain(values) -> pd.Series:
+    """Ids of any type as they are, where pandas would pack strings into chunks."""
+    return pd.Series(list(values), dtype=object)
 
-    Rows are dealt into blocks by a hash, as many as keep the largest key's blocks near BLOCK_ROWS; each block pair is one
-    group that two blocks go to, so a row is sent as often as there are blocks and no task holds more than two of them.
-    """
+
+def _vectors(pdf: pd.DataFrame) -> np.ndarray:
+    return unit_rows(np.stack([np.asarray(v, np.float64) for v in pdf["embedding"]])) if len(pdf) else np.zeros((0, 1))
+
+
+def _block_pairs(rows: DataFrame, by: str, keys: list[str], blocks: DataFrame | int) -> DataFrame:
+    """rows once for each pair of blocks that their own block, a hash of column `by`, is in: _b, the block, and _p, the pair."""
+    rows = rows.withColumn("_n", F.lit(blocks)) if isinstance(blocks, int) else rows.join(blocks.withColumnRenamed("blocks", "_n"), keys)
+    dealt = rows.withColumn("_b", F.pmod(F.xxhash64(by), F.col("_n")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("_n").cast("int") - 1), lambda k: F.struct(F.least(F.col("_b"), k).alias("i"), F.greatest(F.col("_b"), k).alias("j")))
+    return dealt.withColumn("_p", F.explode(pairs)).drop("_n")
+
+
+def _number_of_blocks(rows: DataFrame, keys: tuple[str, ...]) -> int:
+    largest = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return max(1, -(-largest // BLOCK_ROWS))
+
+
+def _near_pairs(rows: DataFrame, limit: float, keys: tuple[str, ...], blocks: int | None, pick: Callable[[np.ndarray], tuple]) -> DataFrame:
+    """(a, b, keys) of the pairs of ids of one key that pick chooses from a block pair's matrix of what is nearer than limit."""
     ship(rows.sparkSession)
-    if blocks is None:
-        largest = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        blocks = max(1, -(-largest // BLOCK_ROWS))
-    limit = math.sqrt(max(0.0, 2 - 2 * cosine_above))
-    dealt = rows.where("embedding is not null").select("id", "embedding", *keys, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_b"))
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least(F.col("_b"), k).alias("i"), F.greatest(F.col("_b"), k).alias("j")))
-    sent = dealt.withColumn("_p", F.explode(pairs))
-    kinds = {f.name: f.dataType.simpleString() for f in dealt.schema.fields}
+    usable = rows.where("embedding is not null").select("id", "embedding", *keys)
+    sent = _block_pairs(usable, "id", list(keys), blocks or _number_of_blocks(usable, keys))
+    kinds = {f.name: f.dataType.simpleString() for f in usable.schema.fields}
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["_p"].iloc[0]["i"], pdf["_p"].iloc[0]["j"]
         pdf = pdf.sort_values("id")
         left, right = pdf[pdf["_b"] == i], pdf[pdf["_b"] == j]
-        x, y = (unit_rows(np.stack([np.asarray(v, np.float64) for v in part["embedding"]])) if len(part) else np.zeros((0, 1)) for part in (left, right))
-        if len(left) and len(right):
-            d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0))
-            p, q = np.nonzero(d < limit)
-            a, b = left["id"].to_numpy()[p], right["id"].to_numpy()[q]
-            ok = a < b if i == j else np.ones(len(a), bool)
-            a, b = a[ok], b[ok]
-            out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-            for k in keys:
-                out[k] = pdf[k].iloc[0]
-            return out
-        return pd.DataFrame({c: [] for c in ("a", "b", *keys)})
-
-    schema = ", ".join([f"a {kinds['id']}", f"b {kinds['id']}", *(f"{k} {kinds[k]}" for k in keys)])
-    return sent.groupBy(*keys, "_p").applyInPandas(work, schema)
-
-
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: [] for c in ("a", "b", *keys)})
+        near = squares(_vectors(left), _vectors(right)) < limit * limit
+        p, q = pick(np.triu(near, 1) if i == j else near)
+        a, b = left["id"].to_numpy()[p], right["id"].to_numpy()[q]
+        return pd.DataFrame({"a": _plain(np.minimum(a, b)), "b": _plain(np.maximum(a, b)), **{k: _plain([pdf[k].iloc[0]] * len(a)) for k in keys}})
+
+    return sent.groupBy(*keys, "_p").applyInPandas(work, ", ".join([f"a {kinds['id']}", f"b {kinds['id']}", *(f"{k} {kinds[k]}" for k in keys)]))
+
+
+def similar_pairs(rows: DataFrame, cosine_above: float, blocks: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, keys) of `id` pairs of one key whose embeddings are nearer than the threshold's distance, by blocked matrix products.
+
+    Rows are dealt into blocks by a hash, as many as keep the largest key's blocks near BLOCK_ROWS; each block pair is one
+    group that two blocks go to, so a row is sent as often as there are blocks and no task holds more than two of them.
+    """
+    return _near_pairs(rows, math.sqrt(max(0.0, 2 - 2 * cosine_above)), keys, blocks, np.nonzero)
+
+
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that join the rows and columns of a matrix as all its pairs do, fewer than it has rows and columns."""
+    rows, columns = np.ones(near.shape[0], bool), np.ones(near.shape[1], bool)
+    p, q = [], []
+    for start in range(near.shape[0]):
+        if not rows[start]:
+            continue
+        rows[start], todo = False, [start]
+        while todo:
+            r = todo.pop()
+            met = np.flatnonzero(near[r] & columns)
+            columns[met] = False
+            p += [r] * len(met)
+            q += met.tolist()
+            for c in met.tolist():
+                on = np.flatnonzero(near[:, c] & rows)
+                rows[on] = False
+                p += on.tolist()
+                q += [c] * len(on)
+                todo += on.tolist()
+    return np.array(p, int), np.array(q, int)
+
+
+def spanning_links(rows: DataFrame, cosine_above: float, blocks: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, keys): pairs of similar_pairs that leave the same components, at most two blocks' rows for each block pair."""
+    return _near_pairs(rows, math.sqrt(max(0.0, 2 - 2 * cosine_above)), keys, blocks, _forest)
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (id) with `component`, the least id reachable: labels spread over edges and are shortened until none changes."""
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
     both = cut(both)
     labels = cut(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(rounds):
+    while True:
         spread = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("least"))
         new = labels.join(spread, labels["id"] == spread["a"], "left").select("id", F.least("component", F.coalesce("least", "component")).alias("component"), F.col("component").alias("old"))
         jump = new.select(F.col("id").alias("_root"), F.col("component").alias("_next"))
         short = cut(new.join(jump, new["component"] == jump["_root"], "left").select("id", F.least("component", F.coalesce("_next", "component")).alias("component"), "old"))
-        done = short.where("component <> old").limit(1).count() == 0
         labels = short.drop("old")
-        if done:
-            break
-    return labels
+        if short.where("component <> old").isEmpty():
+            return labels
+
+
+def _by_cluster(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vectors, numbers of their clusters, clusters in order) of rows sorted by cluster."""
+    pdf = pdf.sort_values(["cluster", "id"])
+    names, number = np.unique(pdf["cluster"].to_numpy(), return_inverse=True)
+    return _vectors(pdf), number, names
+
+
+def _finished(rows: DataFrame, limit: float, kind: str) -> DataFrame:
+    """(id, cluster) of rows (id, cluster, embedding, component): clusters merged until none can be, each component in a task."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, number, names = _by_cluster(pdf)
+        label = agglomerate(farthest(x, number, x, number), limit * limit)
+        return pd.DataFrame({"id": _plain(pdf.sort_values(["cluster", "id"])["id"]), "cluster": _plain(names[label[number]])})
+
+    return rows.groupBy("component").applyInPandas(work, f"id {kind}, cluster {kind}")
+
+
+def _nearest(rows: DataFrame, limit: float, kind: str) -> DataFrame:
+    """(cluster, near): for each cluster of rows (cluster, embedding, component) the one of its component whose farthest member
+    is nearest, if nearer than limit, the lowest in ties. Whole clusters are dealt into blocks."""
+    sizes = rows.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    sent = _block_pairs(rows, "cluster", ["component"], sizes)
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["_p"].iloc[0]["i"], pdf["_p"].iloc[0]["j"]
+        left, right = pdf[pdf["_b"] == i], pdf[pdf["_b"] == j]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"cluster": [], "d": [], "near": []})
+        (x, of_x, a), (y, of_y, b) = _by_cluster(left), _by_cluster(right)
+        d = farthest(x, of_x, y, of_y)
+        if i == j:
+            np.fill_diagonal(d, np.inf)
+        out = []
+        for m, own, other in ((d, a, b), (d.T, b, a))[: 1 if i == j else 2]:
+            near = m.argmin(1)
+            least = m[np.arange(len(own)), near]
+            ok = least < limit * limit
+            out.append(pd.DataFrame({"cluster": _plain(own[ok]), "d": least[ok], "near": _plain(other[near[ok]])}))
+        return pd.concat(out)
+
+    found = sent.groupBy("component", "_p").applyInPandas(work, f"cluster {kind}, d double, near {kind}")
+    best = F.min(F.struct("d", F.least("cluster", "near").alias("lo"), F.greatest("cluster", "near").alias("hi"))).alias("m")
+    return found.groupBy("cluster").agg(best).select("cluster", F.when(F.col("m.lo") == F.col("cluster"), F.col("m.hi")).otherwise(F.col("m.lo")).alias("near"))
 
 
 def linkage_clusters(rows: DataFrame, p: Clustering = Clustering(), keys: tuple[str, ...] = ()) -> DataFrame:
     """(id, cluster): the least id of each complete-linkage cluster. Rows without an embedding are left out.
 
-    Raises ComponentTooLarge, before any distance matrix is made, if a component has more rows than max_component.
+    Rows of equal embeddings are one from the start, however many. Components of up to TASK_CLUSTERS rows end in a task;
+    larger ones go through rounds of mutual nearest neighbours until what can still merge is as few, or nothing can. Only if
+    max_component is set, a component of more distinct rows raises ComponentTooLarge.
     """
     ship(rows.sparkSession)
-    usable = cut(rows.where("embedding is not null").select("id", "embedding", *keys))
-    comp = components(usable, similar_pairs(usable, p.cosine, keys=keys))
-    largest = comp.groupBy("component").count().agg(F.max("count")).first()[0] or 0
-    if largest > p.max_component:
-        raise ComponentTooLarge(f"a component of the threshold graph has {largest} rows, more than {p.max_component}")
-    limit = math.sqrt(max(0.0, 2 - 2 * p.cosine))
     kind = rows.schema["id"].dataType.simpleString()
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        ids = pdf["id"].to_numpy()
-        label = complete_linkage(unit_rows(np.stack([np.asarray(v, np.float64) for v in pdf["embedding"]])), limit)
-        return pd.DataFrame({"id": ids, "cluster": ids[label]})
-
-    return usable.join(comp, "id").groupBy("component").applyInPandas(work, f"id {kind}, cluster {kind}")
+    limit = math.sqrt(max(0.0, 2 - 2 * p.cosine))
+    usable = rows.where("embedding is not null").select("id", "embedding", *keys)
+    alike = cut(usable.groupBy(*keys, "embedding").agg(F.min("id").alias("_first"), F.count("*").alias("_n")))
+    distinct = cut(alike.select(F.col("_first").alias("id"), "embedding", *keys))
+    comp = components(distinct, spanning_links(distinct, p.cosine, keys=keys))
+    if p.max_component is not None:
+        largest = comp.groupBy("component").count().agg(F.max("count")).first()[0] or 0
+        if largest > p.max_component:
+            raise ComponentTooLarge(f"a component of the threshold graph has {largest} rows, more than {p.max_component}")
+    active = cut(distinct.select("id", "embedding").join(comp, "id").withColumn("cluster", F.col("id")))
+    done = []
+    while True:
+        size = active.groupBy("component").agg(F.count("*").alias("_rows"), F.count_distinct("cluster").alias("_clusters"))
+        sized = active.join(size, "component")
+        small = f"_clusters <= {TASK_CLUSTERS} and _rows <= {TASK_ROWS}"
+        done.append(cut(_finished(sized.where(small).drop("_rows", "_clusters"), limit, kind)))
+        active = cut(sized.where(f"not ({small})").drop("_rows", "_clusters"))
+        if active.isEmpty():
+            break
+        near = cut(_nearest(active, limit, kind))
+        # What has no neighbour near enough never will: merges only take clusters farther from each other.
+        over = active.join(near, "cluster", "left_anti")
+        done.append(cut(over.select("id", "cluster")))
+        mutual = near.groupBy(F.least("cluster", "near").alias("lo"), F.greatest("cluster", "near").alias("hi")).agg(F.count("*").alias("n")).where("n = 2").select("lo", F.col("hi").alias("cluster"))
+        active = cut(active.join(near.select("cluster"), "cluster").join(mutual, "cluster", "left").select("id", "embedding", "component", F.coalesce("lo", "cluster").alias("cluster")))
+    found = done[0]
+    for part in done[1:]:
+        found = found.unionByName(part)
+    if alike.where("_n > 1").isEmpty():
+        return found
+    same = [usable[k].eqNullSafe(alike[k]) for k in keys]
+    named = usable.join(alike, [*same, usable["embedding"] == alike["embedding"]]).select(usable["id"], F.col("_first"))
+    return named.join(found.withColumnRenamed("id", "_first"), "_first").select("id", "cluster")
 
 
 def centroids(rows: DataFrame, cluster: str = "cluster", embedding: str = "embedding", normalise: bool = True) -> DataFrame:

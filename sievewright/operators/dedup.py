@@ -1,8 +1,9 @@
 """Removal of near-duplicates inside time windows.
 
 Rows of one identity that are close in time and look alike are linked; links chain, so a group can be longer than the
-window. A gap longer than the window between neighbours in time can't be crossed by any link, so each identity falls into
-islands that are worked on apart: the pair join is an equi-join on the island, and components are found inside it.
+window. The pair join is an equi-join on stretches of time little longer than the window: a row meets those of its own
+stretch and of the next. A gap longer than the window between neighbours in time can't be crossed by any link, so each
+identity falls into islands, inside which components are found.
 """
 
 from __future__ import annotations
@@ -30,16 +31,20 @@ def duplicate_edges(rows: DataFrame, p: Dedup = Dedup(), partition: tuple[str, .
     """(a, b, keys, island): linked pairs of `id`, a the earlier one.
 
     Null identities are one identity. A null hash is far from every hash, a null embedding links to nothing. Expression maps
-    are compared if any row has one. Cheap tests come first: Spark keeps the order of the conditions.
+    are compared if any row has one. Cheap tests come first: Spark keeps the order of the conditions. An identity that is
+    seen without a gap is one island but many stretches, and only rows of neighbouring stretches become pairs. Rows without
+    a timestamp link to nothing.
     """
     parts = list(partition)
     numbered = islands(rows, p.window, parts)
     any_blends = rows.agg(F.coalesce(F.max(F.size("blendshapes") > 0), F.lit(False)).alias("_blends"))
     keyed = numbered.join(F.broadcast(any_blends))  # one row
+    # Longer than the window by more than the rounding of a division of large timestamps.
+    keyed = keyed.withColumn("stretch", F.floor(F.col("timestamp") / F.lit(max(p.window * 1.001, 1e-3))))
     cols = ["id", "timestamp", "ord", "phash", "embedding", "blendshapes", "_blends", "island", *parts]
-    a = keyed.select(*(F.col(c).alias(f"a_{c}") for c in cols))
-    b = keyed.select(*(F.col(c).alias(f"b_{c}") for c in cols))
-    same = F.col("a_island") == F.col("b_island")
+    a = keyed.select(*(F.col(c).alias(f"a_{c}") for c in cols), F.explode(F.array("stretch", F.col("stretch") + 1)).alias("a_stretch"))
+    b = keyed.select(*(F.col(c).alias(f"b_{c}") for c in (*cols, "stretch")))
+    same = F.col("a_stretch") == F.col("b_stretch")
     for c in parts:
         same = same & F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
     earlier = (F.col("a_timestamp") < F.col("b_timestamp")) | ((F.col("a_timestamp") == F.col("b_timestamp")) & (F.col("a_ord") < F.col("b_ord")))

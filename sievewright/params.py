@@ -1,4 +1,7 @@
-"""Parameters, one frozen group for each concern; operators take them explicitly and Catalyst folds them in as literals."""
+"""Parameters, one frozen group for each concern; operators take them explicitly and Catalyst folds them in as literals.
+
+The default values are fixed values: results must be the same for the same input.
+"""
 
 from __future__ import annotations
 
@@ -72,8 +75,8 @@ class Clustering:
     merge_cosine: float = 0.75
     min_size: int = 4
     dominance: float = 0.70
-    #: Members of a threshold component that one task may hold as a distance matrix; beyond it the operator refuses.
-    max_component: int = 8000
+    #: A limit for those who want one: a component of the threshold graph with more rows is an error instead of work.
+    max_component: int | None = None
 
 
 @dataclass(frozen=True)

@@ -244,17 +244,17 @@ def j5_nearest_colour(spark, sf_dir):
     return views.dims(spark, sf_dir).select("id", text.nearest_colour(r, g, b).alias("colour"))
 
 
-@query("SELECT o.o_orderkey AS id, c.c_name AS name FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey WHERE o.o_orderkey % 7 = 0")
+@query("SELECT o.o_orderkey AS id, c.c_name AS name FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey")
 def j6_id_lookup(spark, sf_dir):
     """Ids looked up in a dimension; misses are left out."""
-    orders = views.read(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    orders = views.read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
     return orders.join(views.read(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey").select(F.col("o_orderkey").alias("id"), F.col("c_name").alias("name"))
 
 
-@query(f"{LOOKS}, f AS (SELECT id, 'out/faces/' || printf('frame_%08d.jpg', id) AS file FROM k) SELECT id, regexp_extract(file, '[^/]+$') AS base FROM f WHERE id % 3 = 0")
+@query(f"{LOOKS}, f AS (SELECT id, 'out/faces/' || printf('frame_%08d.jpg', id) AS file FROM k) SELECT id, regexp_extract(file, '[^/]+$') AS base FROM f")
 def j7_file_reverse_lookup(spark, sf_dir):
     files = views.dims(spark, sf_dir).select("id", F.concat(F.lit("out/faces/"), F.format_string("frame_%08d.jpg", "id")).alias("file"))
-    wanted = files.where("id % 3 = 0").select(F.regexp_extract("file", "[^/]+$", 0).alias("base"))
+    wanted = files.select(F.regexp_extract("file", "[^/]+$", 0).alias("base"))
     return files.withColumn("base", F.regexp_extract("file", "[^/]+$", 0)).join(wanted, "base").select("id", "base")
 
 
@@ -275,11 +275,11 @@ def j9_already_used(spark, sf_dir):
 _ADJ = sql.values([(i, n, k, p) for i, (n, (own, _)) in enumerate(synthesis.SPEC.items(), 1) for k, p in enumerate(synthesis.ADJACENCY[own] if own else synthesis.ANY_POSE, 1)], "rank, category, k, pose")
 
 
-@query(f"""{LOOKS}, {_ADJ}, u AS (SELECT DISTINCT category FROM t), pool AS (SELECT * FROM k WHERE id % 5 = 0 AND pose NOT IN ('front', 'profile_right')),
-    q AS (SELECT u.category, s.id, s.pose, row_number() OVER (PARTITION BY u.category ORDER BY coalesce(t.k, 99), s.quality DESC, s.id) AS rn FROM u, pool s LEFT JOIN t ON t.category = u.category AND t.pose = s.pose)
+@query(f"""{LOOKS}, {_ADJ}, u AS (SELECT DISTINCT category FROM t),
+    q AS (SELECT u.category, s.id, s.pose, row_number() OVER (PARTITION BY u.category ORDER BY coalesce(t.k, 99), s.quality DESC, s.id) AS rn FROM u, k s LEFT JOIN t ON t.category = u.category AND t.pose = s.pose)
     SELECT category, id AS base_id, pose AS base_pose FROM q WHERE rn = 1""")
 def j10_f18_base_pick(spark, sf_dir):
-    rows = views.looks(spark, sf_dir).where("id % 5 = 0 and pose not in ('front', 'profile_right')").withColumn("ord", F.col("id"))
+    rows = views.looks(spark, sf_dir).withColumn("ord", F.col("id"))
     return synthesis.pick_bases(rows, synthesis.category_table(rows)).select("category", "base_id", "base_pose")
 
 
@@ -324,15 +324,15 @@ def a9_pose_distribution(spark, sf_dir):
     return reports.pose_distribution(views.looks(spark, sf_dir))
 
 
-@query(f"""{LOOKS}, g AS (SELECT least(90, trunc(quality * 10)::INT * 10) AS lo FROM k WHERE id < 50), x AS (SELECT unnest(tags) AS tag FROM k WHERE id < 50)
-    SELECT 'v1' AS video, 50 AS faces_found, (SELECT string_agg(id::VARCHAR, ',' ORDER BY id) FROM k WHERE id < 50) AS images, (SELECT string_agg(b || '=' || n, ',' ORDER BY b) FROM (SELECT lo || '-' || (lo + 10) || '%' AS b, count(*) AS n FROM g GROUP BY 1)) AS quality,
+@query(f"""{LOOKS}, g AS (SELECT least(90, trunc(quality * 10)::INT * 10) AS lo FROM k), x AS (SELECT unnest(tags) AS tag FROM k)
+    SELECT 'v1' AS video, (SELECT count(*) FROM k) AS faces_found, (SELECT string_agg(id::VARCHAR, ',' ORDER BY id) FROM k) AS images, (SELECT string_agg(b || '=' || n, ',' ORDER BY b) FROM (SELECT lo || '-' || (lo + 10) || '%' AS b, count(*) AS n FROM g GROUP BY 1)) AS quality,
         (SELECT string_agg(tag || '=' || n, ',' ORDER BY tag) FROM (SELECT tag, count(*) AS n FROM x GROUP BY 1)) AS expressions""")
 def a10_manifest(spark, sf_dir):
-    """A manifest of the fifty images of a pack, flattened; the pack's size is the feature."""
-    images = views.looks(spark, sf_dir).where("id < 50").select(F.col("id").alias("position"), "id", "quality", "pose", "expressions")
-    m = reports.manifest(images, {"id": "v1"}, {"faces_found": 50})
+    """A manifest of all looks, flattened."""
+    images = views.looks(spark, sf_dir).select(F.col("id").alias("position"), "id", "quality", "pose", "expressions")
+    m = reports.manifest(images, {"id": "v1"}, {"faces_found": images.count()})
     flat = lambda c: F.array_join(F.transform(F.sort_array(F.map_entries(c)), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
-    return m.select(F.col("video.id").alias("video"), F.col("faces_found").cast("int").alias("faces_found"), F.array_join(F.transform("images", lambda i: i["id"].cast("string")), ",").alias("images"), flat("quality_distribution").alias("quality"), flat("expression_distribution").alias("expressions"))
+    return m.select(F.col("video.id").alias("video"), "faces_found", F.array_join(F.transform("images", lambda i: i["id"].cast("string")), ",").alias("images"), flat("quality_distribution").alias("quality"), flat("expression_distribution").alias("expressions"))
 
 
 _BEST = "row_number() OVER (PARTITION BY {0} ORDER BY quality DESC, id) AS rn"
@@ -348,11 +348,11 @@ def a11_best_per_tag(spark, sf_dir):
     return reports.best_by(views.looks(spark, sf_dir).withColumn("tag", F.explode("expressions")), "tag", order="id").select("tag", "id")
 
 
-@query(f"{LOOKS}, a AS (SELECT id, 0 AS part, row_number() OVER (ORDER BY id) AS pos FROM k WHERE pose = 'front' UNION ALL SELECT id, 1, row_number() OVER (ORDER BY id DESC) FROM k WHERE id % 3 = 0), f AS (SELECT id, min({{'p': part, 'a': pos}}) AS m FROM a GROUP BY id) SELECT id, row_number() OVER (ORDER BY m, id) AS position FROM f")
+@query(f"{LOOKS}, a AS (SELECT id, 0 AS part, row_number() OVER (ORDER BY id) AS pos FROM k WHERE pose = 'front' UNION ALL SELECT id, 1, row_number() OVER (ORDER BY id DESC) FROM k WHERE quality >= 0.6), f AS (SELECT id, min({{'p': part, 'a': pos}}) AS m FROM a GROUP BY id) SELECT id, row_number() OVER (ORDER BY m, id) AS position FROM f")
 def a12_ordered_union(spark, sf_dir):
     rows = views.looks(spark, sf_dir)
     a = rows.where("pose = 'front'").select("id", F.col("id").alias("pick"))
-    b = rows.where("id % 3 = 0").select("id", (-F.col("id")).alias("pick"))
+    b = rows.where("quality >= 0.6").select("id", (-F.col("id")).alias("pick"))
     return reports.union_ordered([a, b]).select("id", F.col("position").cast("long").alias("position"))
 
 
@@ -370,12 +370,6 @@ def a14_intensity_histogram(spark, sf_dir):
     return views.dims(spark, sf_dir).select(F.explode(gray).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {sql.SIGHTINGS} SELECT (SELECT count(*) FROM events) AS frames_examined, (SELECT count(*) FROM s) AS faces_found, (SELECT count(DISTINCT identity) FROM s) AS identities_found, (SELECT count(*) FROM s WHERE id % 2 = 0) AS after_dedup")
-def a15_run_counts(spark, sf_dir):
-    rows = views.sightings(spark, sf_dir)
-    return reports.run_counts(views.read(spark, sf_dir, "events"), rows, rows.select("identity_cluster").distinct(), rows.where("id % 2 = 0"))
-
-
 # Clustering: no SQL for complete linkage.
 
 
@@ -404,15 +398,31 @@ def c5_target_choice(spark, sf_dir):
     return spark.createDataFrame([(target, why)], "target long, why string")
 
 
+@query(f"WITH {sql.SIGHTINGS}, z AS (SELECT identity, count(*) AS n FROM s GROUP BY identity) SELECT identity AS target, 'number' AS why FROM z ORDER BY n DESC, identity LIMIT 1 OFFSET 2")
+def c5_target_by_number(spark, sf_dir):
+    """The third largest, as asked for."""
+    rows = views.sightings(spark, sf_dir).withColumns({"frame_path": F.lit("x"), "detection_confidence": F.lit(1.0)})
+    return spark.createDataFrame([clustering.choose_target(clustering.summarize(rows), person=3)], "target long, why string")
+
+
+@query(f"""WITH {sql.SIGHTINGS}, m AS (SELECT identity, i, avg(e[i]) AS v FROM s, range(1, 65) r(i) GROUP BY identity, i), n AS (SELECT identity, sqrt(sum(v * v)) + 1e-8 AS len FROM m GROUP BY identity), c AS (SELECT identity, list(v / len ORDER BY i) AS e FROM m JOIN n USING (identity) GROUP BY identity),
+    r AS (SELECT {REFERENCE!r}::DOUBLE[] AS e), q AS (SELECT x.identity, {_DOT} / ({_NORM.format('x')} * {_NORM.format('y')}) AS sim FROM c x, r y) SELECT identity AS target, CASE WHEN sim >= {Clustering().cosine} THEN 'reference' ELSE 'weak reference' END AS why FROM q ORDER BY sim DESC, identity LIMIT 1""")
+def c5_target_by_reference(spark, sf_dir):
+    """The identity whose centroid is most like a reference vector."""
+    rows = views.candidates(spark, sf_dir)
+    return spark.createDataFrame([clustering.choose_target(clustering.summarize(rows), rows, reference=REFERENCE)], "target long, why string")
+
+
 # Near-duplicates.
 
 
-@query(f"WITH {sql.SIGHTINGS} SELECT x.id AS a, y.id AS b, {_MISMATCH} AS hamming, round({_DOT} / ({_NORM.format('x')} * {_NORM.format('y')}), 6) AS cosine, round({_BDOT} / ({_BNORM.format('x')} * {_BNORM.format('y')}), 6) AS blend_cosine FROM s x JOIN s y ON x.identity = y.identity AND y.id = x.id + 1")
+@query(f"WITH {sql.SIGHTINGS}, o AS (SELECT *, lead(id) OVER (PARTITION BY identity ORDER BY t, ord) AS after FROM s) SELECT x.id AS a, y.id AS b, {_MISMATCH} AS hamming, round({_DOT} / ({_NORM.format('x')} * {_NORM.format('y')}), 6) AS cosine, round({_BDOT} / ({_BNORM.format('x')} * {_BNORM.format('y')}), 6) AS blend_cosine FROM o x JOIN s y ON y.id = x.after")
 def d2_d3_d4_distances(spark, sf_dir):
-    rows = views.candidates(spark, sf_dir).select("id", "identity_cluster", "phash", "embedding", "blendshapes")
-    a, b = (rows.select(*(F.col(c).alias(f"{p}_{c}") for c in rows.columns)) for p in "ab")
-    near = (F.col("a_identity_cluster") == F.col("b_identity_cluster")) & (F.col("b_id") == F.col("a_id") + 1)
-    return a.join(b, near).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), vectors.hamming(F.col("a_phash"), F.col("b_phash")).cast("long").alias("hamming"), r6(vectors.cosine(F.col("a_embedding"), F.col("b_embedding"))).alias("cosine"), r6(vectors.map_cosine(F.col("a_blendshapes"), F.col("b_blendshapes"))).alias("blend_cosine"))
+    """Distances of every sighting from the next one of its person."""
+    rows = views.candidates(spark, sf_dir)
+    following = F.lead(F.struct("id", "phash", "embedding", "blendshapes")).over(Window.partitionBy("identity_cluster").orderBy("timestamp", "ord"))
+    pairs = rows.select("id", "phash", "embedding", "blendshapes", following.alias("after")).where("after is not null")
+    return pairs.select(F.col("id").alias("a"), F.col("after.id").alias("b"), vectors.hamming(F.col("phash"), F.col("after.phash")).cast("long").alias("hamming"), r6(vectors.cosine(F.col("embedding"), F.col("after.embedding"))).alias("cosine"), r6(vectors.map_cosine(F.col("blendshapes"), F.col("after.blendshapes"))).alias("blend_cosine"))
 
 
 GROUPS = f"""WITH RECURSIVE {sql.SIGHTINGS}, {sql.looks('s')}, {EDGES}, both_ AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges), r AS (SELECT a AS id, a AS root FROM both_ UNION SELECT both_.b, r.root FROM r JOIN both_ ON both_.a = r.id),
@@ -431,17 +441,26 @@ def d7_deduplicate(spark, sf_dir):
     return got.select("id", "group_id", F.col("rank_in_group").cast("long").alias("rank_in_group"), "kept", "duplicate_of")
 
 
-# Selection: folds have no SQL, tests hold them against plain Python.
+_SURVIVORS = f"{GROUPS}, q AS (SELECT id, group_id, row_number() OVER (PARTITION BY group_id ORDER BY quality DESC, t, ord) AS rk, min({{'t': t, 'o': ord}}) OVER (PARTITION BY group_id) AS first FROM g), kept AS (SELECT * FROM q WHERE rk <= 2)"
 
 
-def _selectable(spark, sf_dir):
-    return views.candidates(spark, sf_dir).withColumn("sel_ord", F.struct("timestamp", "ord"))
+@query(f"{_SURVIVORS} SELECT (SELECT count(*) FROM events) AS frames_examined, (SELECT count(*) FROM s) AS faces_found, (SELECT count(DISTINCT identity) FROM s) AS identities_found, (SELECT count(*) FROM kept) AS after_dedup")
+def a15_run_counts(spark, sf_dir):
+    rows = views.candidates(spark, sf_dir)
+    return reports.run_counts(views.read(spark, sf_dir, "events"), rows, rows.select("identity_cluster").distinct(), _survivors(spark, sf_dir))
+
+
+# Selection: from what is left of each person in each video. The diverse pack's fold has no SQL, tests hold it against plain Python.
+
+
+def _survivors(spark, sf_dir):
+    return dedup.deduplicate(views.candidates(spark, sf_dir), DEDUP, ("video_id", "identity_cluster")).where("kept")
 
 
 @query()
 def k1_k4_diverse_pack(spark, sf_dir):
-    got = selection.diverse_pack(_selectable(spark, sf_dir), Selection(spacing=600.0))
-    return got.select("video_id", "id", "pick", "phase", F.array_join("categories", ",").alias("categories"))
+    got = selection.diverse_pack(_survivors(spark, sf_dir), Selection(spacing=600.0))
+    return got.select("video_id", "identity_cluster", "id", "pick", "phase", F.array_join("categories", ",").alias("categories"))
 
 
 _BONUS = "CASE pose WHEN 'front' THEN 1.0 WHEN 'three_quarter_left' THEN 0.85 WHEN 'three_quarter_right' THEN 0.85 WHEN 'looking_up' THEN 0.6 WHEN 'looking_down' THEN 0.6 ELSE 0.5 END"
@@ -452,10 +471,19 @@ def k5_reference_score(spark, sf_dir):
     return views.looks(spark, sf_dir).select("id", r6(selection.reference_score(F.col("quality"), F.col("sharpness"), F.col("pose"))).alias("score"))
 
 
-@query()
+_PLACES = [n for n, _, _ in CATEGORIES] + [selection.UNCATEGORIZED]
+_REF, _PER = Selection().reference, Selection().reference_per_category
+
+
+@query(f"""{_SURVIVORS}, u AS (SELECT video_id, identity, k.id, 0.55 * quality + 0.25 * sharpness + 0.20 * {_BONUS} AS score, CASE WHEN len(cats) > 0 THEN cats ELSE ['{selection.UNCATEGORIZED}'] END AS cats, first, rk FROM k JOIN kept USING (id)),
+    w AS (SELECT *, row_number() OVER (PARTITION BY video_id, identity ORDER BY score DESC, first, rk) AS place FROM u),
+    f AS (SELECT DISTINCT video_id, identity, 0::BIGINT AS place, 0 AS n, {[0] * len(_PLACES)} AS used, NULL::BIGINT AS id, NULL::DOUBLE AS score, false AS ok FROM w
+        UNION ALL SELECT video_id, identity, place, n + ok::INT, CASE WHEN ok THEN list_transform(range(1, {len(_PLACES) + 1}), lambda i: used[i] + list_contains(cats, ({_PLACES!r})[i])::INT) ELSE used END, id, score, ok
+        FROM (SELECT f.video_id, f.identity, w.place, f.n, f.used, w.cats, w.id, w.score, f.n < {_REF} AND (f.n < {_REF // 2} OR len(list_filter(w.cats, lambda c: f.used[list_position({_PLACES!r}, c)] < {_PER})) > 0) AS ok FROM f JOIN w ON w.video_id = f.video_id AND w.identity = f.identity AND w.place = f.place + 1))
+    SELECT video_id, identity AS identity_cluster, id, row_number() OVER (PARTITION BY video_id, identity ORDER BY place)::INT AS pick, round(score, 6) AS score FROM f WHERE ok""")
 def k6_reference_pack(spark, sf_dir):
-    got = selection.reference_pack(_selectable(spark, sf_dir))
-    return got.select("video_id", "id", "pick", r6(F.col("score")).alias("score"))
+    got = selection.reference_pack(_survivors(spark, sf_dir))
+    return got.select("video_id", "identity_cluster", "id", "pick", r6(F.col("score")).alias("score"))
 
 
 @query(f"WITH {sql.SIGHTINGS}, q AS (SELECT identity AS identity_cluster, id, row_number() OVER (PARTITION BY identity ORDER BY ord) AS place FROM s) SELECT * FROM q WHERE place <= 12")
@@ -659,11 +687,11 @@ def w4_caption_dataset(spark, sf_dir):
     return caption_rows(rows)
 
 
-@query(f"""{LOOKS}, a AS (SELECT id FROM k WHERE pose = 'front'), b AS (SELECT id FROM k WHERE id % 3 = 0) SELECT 'union' AS op, id FROM (SELECT id FROM a UNION SELECT id FROM b) UNION ALL SELECT 'except', id FROM (SELECT id FROM a EXCEPT SELECT id FROM b)
+@query(f"""{LOOKS}, a AS (SELECT id FROM k WHERE pose = 'front'), b AS (SELECT id FROM k WHERE quality >= 0.6) SELECT 'union' AS op, id FROM (SELECT id FROM a UNION SELECT id FROM b) UNION ALL SELECT 'except', id FROM (SELECT id FROM a EXCEPT SELECT id FROM b)
     UNION ALL SELECT 'intersect', id FROM (SELECT id FROM a INTERSECT SELECT id FROM b)""")
 def sets_union_except_intersect(spark, sf_dir):
     rows = views.looks(spark, sf_dir)
-    a, b = rows.where("pose = 'front'").select("id"), rows.where("id % 3 = 0").select("id")
+    a, b = rows.where("pose = 'front'").select("id"), rows.where("quality >= 0.6").select("id")
     tag = lambda name, df: df.select(F.lit(name).alias("op"), "id")
     return tag("union", a.union(b).distinct()).union(tag("except", a.exceptAll(b).distinct())).union(tag("intersect", a.intersect(b)))
 

@@ -369,3 +369,57 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.json(str(tmp_path / "out" / "manifest")).first()["faces_found"] == 25
     assert spark.read.parquet(str(tmp_path / "out" / "pack")).count() == 2
     assert main([*args, "--person", "9"], spark) == 1 and "out of range" in capsys.readouterr().err
+
+
+@pytest.mark.parametrize("limit", [0.2, 0.5])
+def test_large_components_merge_in_rounds(spark, monkeypatch, limit):
+    """Blocks and tasks far smaller than the components: rounds of mutual nearest neighbours give the whole set's clusters."""
+    monkeypatch.setattr(clustering, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(clustering, "TASK_CLUSTERS", 8)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(260, 4))
+    x = np.concatenate([x, x[:40], x[:40], np.zeros((2, 4))])  # copies, and vectors without a length
+    rows = spark.createDataFrame([(f"r{i:04d}", "v", v.tolist()) for i, v in enumerate(x)] + [("none", "v", None)], "id string, video_id string, embedding array<double>").repartition(5)
+    got = {}
+    for r in clustering.linkage_clusters(rows, Clustering(cosine=limit), keys=("video_id",)).collect():
+        got.setdefault(r["cluster"], set()).add(int(r["id"][1:]))
+    label = clustering.complete_linkage(clustering.unit_rows(x), math.sqrt(2 - 2 * limit))
+    assert {frozenset(v) for v in got.values()} == {frozenset(np.flatnonzero(label == k).tolist()) for k in set(label.tolist())}
+    assert all(k == f"r{min(v):04d}" for k, v in got.items())
+
+
+def test_spanning_links_leave_the_components():
+    rng = np.random.default_rng(3)
+    near = rng.random((60, 50)) < 0.03
+    p, q = clustering._forest(near)
+    assert len(p) < 110 and all(near[p, q])
+    reach = lambda pairs: {frozenset(c) for c in _joined(60 + 50, pairs)}
+    assert reach([(i, 60 + j) for i, j in zip(*np.nonzero(near), strict=True)]) == reach([(i, 60 + j) for i, j in zip(p, q, strict=True)])
+
+
+def _joined(n, pairs):
+    of = [{i} for i in range(n)]
+    for a, b in pairs:
+        if of[a] is not of[b]:
+            of[a] |= of[b]
+            for i in of[b]:
+                of[i] = of[a]
+    return of
+
+
+def test_pairs_over_the_borders_of_stretches(spark):
+    """A person seen without a gap for long: links are those of all pairs within the window, to its very end."""
+    rows = [(k, k * 0.5, k, 1, 7, [1.0, 0.0], {}) for k in range(60)] + [(100, 1.7e9, 100, 1, 7, [1.0, 0.0], {}), (101, 1.7e9 + 1.5, 101, 1, 7, [1.0, 0.0], {}), (102, None, 102, 1, 7, [1.0, 0.0], {})]
+    frame = spark.createDataFrame(rows, "id long, timestamp double, ord long, identity_cluster int, phash long, embedding array<double>, blendshapes map<string,double>")
+    got = {(r["a"], r["b"]) for r in dedup.duplicate_edges(frame).collect()}
+    assert got == {(a, b) for a in range(60) for b in range(a + 1, a + 4) if b < 60} | {(100, 101)}
+
+
+def test_reference_pack_of_thinned_out_rows(spark):
+    """Leaving out rows that can't be picked changes no pack."""
+    rnd = random.Random(13)
+    rows = [(k, rnd.choice([0.3, 0.5, 0.7, 0.9]), rnd.choice(schema.POSES), rnd.sample(schema.EXPRESSIONS, rnd.randint(1, 3))) for k in range(400)]
+    frame = cand(spark, rows)
+    scored = frame.where("quality is not null").withColumn("score", selection.reference_score(F.col("quality"), F.col("sharpness"), F.col("pose"))).withColumn("cats", selection.categories_for(F.col("pose"), F.col("expressions"))).orderBy("sel_ord").collect()
+    want = selection.fold_reference([(r["id"], r["score"], r["cats"]) for r in scored], 16, 3)
+    assert [r["id"] for r in selection.reference_pack(frame, size=16).orderBy("pick").collect()] == want
