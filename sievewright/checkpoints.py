@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import asdict, is_dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 _tables: list[str] = []
@@ -44,6 +45,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many tables there are that `cut` wrote."""
+    return len(_tables)
+
+
 def clean(spark: SparkSession, since: int = 0) -> None:
     """Remove the tables that were cut, but for the first `since`: for long sessions that have written their results."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -92,3 +98,11 @@ class Checkpoints:
         for s in stages:
             fs, where = self._fs(f"{self.root}/{s}")
             fs.delete(where, True)
+
+
+def exists(spark: SparkSession, paths: DataFrame, most: int = 5) -> bool:
+    """Whether a few of the files that paths (one column) names are there; yes if it names none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    named = [r[0] for r in paths.where(F.col(paths.columns[0]).isNotNull()).distinct().orderBy(F.xxhash64(paths.columns[0])).limit(most).collect()]
+    there = (jvm.org.apache.hadoop.fs.Path(p) for p in named)
+    return all(p.getFileSystem(conf).exists(p) for p in there)

@@ -324,7 +324,7 @@ def cluster_identities(rows: DataFrame, p: Clustering = Clustering(), keys: tupl
 
 def summarize(rows: DataFrame) -> DataFrame:
     """(identity_cluster, n, representative): the frame of the detection with the most confidence, the first in ties; largest first."""
-    best = F.max_by("frame_path", F.struct("detection_confidence", -F.col("ord")))
+    best = F.min_by("frame_path", F.struct(-F.coalesce("detection_confidence", F.lit(float("-inf"))), F.col("ord")))
     return rows.where("identity_cluster is not null").groupBy("identity_cluster").agg(F.count("*").alias("n"), best.alias("representative")).orderBy(F.desc("n"), "identity_cluster")
 
 
