@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..params import QualityWeights
 from .geometry import area
@@ -34,11 +37,6 @@ def exposure(gray: Column) -> Column:
     return exposure_of(low, high, total / n)
 
 
-def histogram(gray: Column, bins: int = 256) -> Column:
-    """Counts of each luminance in an array of them."""
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(gray, lambda x: x == b)))
-
-
 def face_resolution(b: Column, target: int = 220) -> Column:
     return clip01(area(b) / float(target * target)) if target > 0 else F.lit(0.0)
 
@@ -64,3 +62,13 @@ def overall(parts: dict[str, Column], weights: QualityWeights = QualityWeights()
     total = sum(by.values())
     score = sum((F.lit(by[k]) * parts[k] for k in by), F.lit(0.0))
     return clip01(score / total if total > 0 else score)
+
+
+def histogram(gray: Column, bins: int = 256) -> Column:
+    """Counts of each luminance in an array of them, in one pass over it; null for a null array."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def run(arrays: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else np.bincount(np.clip(np.asarray(a, np.int64), 0, bins - 1), minlength=bins).tolist() for a in arrays], dtype=object)
+
+    return run(gray)

@@ -58,7 +58,7 @@ def is_video_url(url: Column) -> Column:
 
 
 def error_class(message: Column) -> Column:
-    """The name of the error in sievewright.errors that a fetcher's message means; the first rule that fits."""
+    """The name of the error in sievewright.errors that a fetcher's message means; the first rule that fits. Phrases are fixed values."""
     m = F.lower(message)
     has = m.contains
     return (

@@ -30,9 +30,10 @@ def pose_distribution(rows: DataFrame, pose: str = "pose") -> DataFrame:
 
 
 def best_by(rows: DataFrame, key: str, quality: str = "quality", order: str = "ord") -> DataFrame:
-    """The best row of each value of key, the first in ties."""
-    w = Window.partitionBy(key).orderBy(F.desc(quality), order)
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """The best row of each value of key, the first in ties, null quality last. Rows are folded before the shuffle, not sorted."""
+    worst_last = F.struct(F.col(quality).isNull(), -F.col(quality), F.col(order))
+    best = F.min_by(F.struct(*(f"`{c}`" for c in rows.columns)), worst_last)
+    return rows.groupBy(F.col(key).alias("_key")).agg(best.alias("_best")).select("_best.*")
 
 
 def first_members(rows: DataFrame, key: str = "identity_cluster", most: int = 12, order: str = "ord") -> DataFrame:

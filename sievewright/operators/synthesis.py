@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.categories import CATEGORIES, NAMES, categories_for
 from ..functions.text import TAG_PHRASES
+from .reports import best_by
 
 #: The synthesis planner's own view of the categories: smiling three-quarter views ask for a slight smile. Fixed values.
 SPEC: dict[str, tuple[str | None, list[str]]] = {n: (p, tags[:1]) for n, p, tags in CATEGORIES}
@@ -81,8 +82,7 @@ def pick_bases(rows: DataFrame, categories: DataFrame) -> DataFrame:
     seven rows meet the seventeen categories. base_id is null if there is none.
     """
     usable = rows.where("quality is not null and pose is not null")
-    first = F.row_number().over(Window.partitionBy("pose").orderBy(F.desc("quality"), "ord"))
-    best = usable.withColumn("_rn", first).where("_rn = 1").select("id", "pose", "quality", "ord")
+    best = best_by(usable.select("id", "pose", "quality", "ord"), "pose")
     order = {n: ADJACENCY[p] if p else ANY_POSE for n, (p, _) in SPEC.items()}
     searched = F.array(*(F.struct(F.lit(n).alias("c"), F.array(*map(F.lit, poses)).alias("p")) for n, poses in order.items()))
     own = F.get(F.filter(searched, lambda x: x["c"] == F.col("category")), 0)["p"]
