@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +17,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
-def model_file(name: str = "piece_bpe_32k.model") -> str:
-    """Where the public tokenizer's file is on this machine; only the driver reads it."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+def model_file(name: str = "piece_bpe_32k.model", folder: str = "/opt/tokenizers") -> str:
+    """The public tokenizer's file; only the driver reads it. Other machines name their own folder."""
+    if not os.path.exists(f"{folder}/{name}"):
+        raise FileNotFoundError(f"no tokenizer {name} in {folder}: give the folder of the public vocabulary files")
+    return f"{folder}/{name}"
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +75,8 @@ def _rules_sql(width: float = 1.5, least_rows: int = 50) -> str:
     long = " UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{r}' AS r, ln(({c} + 0.5::DOUBLE) / (n_words + 1)) AS v FROM c" for r, c in RATES.items())
     return rf"""
         WITH w AS (
-            SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws FROM documents
+            SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS ws FROM documents
         ), p AS (
             SELECT doc_id, unnest(ws) AS a, unnest(range(1, len(ws) + 1)) AS i FROM w
         ), g AS (
@@ -84,9 +86,11 @@ def _rules_sql(width: float = 1.5, least_rows: int = 50) -> str:
         ), d AS (
             SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM f WHERE n > 1) GROUP BY doc_id
         ), l AS (
-            SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM w
+            SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines FROM w
         ), c0 AS (
-            SELECT doc_id, lang, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[ 	-]', '', 'g'))::BIGINT AS word_chars,
+            SELECT doc_id, lang, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[ 	-
+]', '', 'g'))::BIGINT AS word_chars,
                 len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(d.n, 0)::BIGINT AS n_repeat_words
             FROM w JOIN l USING (doc_id) LEFT JOIN d USING (doc_id)
         ), c AS (

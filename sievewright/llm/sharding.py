@@ -20,7 +20,8 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 17, source: str = "sour
     size is the UTF-8 bytes of the text plus 16, a null text having none; text_crc32 is that of the text (null: of nothing).
     Rows with a null source are a source of their own, a missing source column makes all rows one. Equal keys of the
     shuffle (repeated rows) are told apart by doc_id, then by crc and size; rows equal in all of these can be exchanged
-    without a change to the result. With fewer rows than shards, some shards are empty. grown_shard is null: another number
+    without a change to the result. Rows with a null doc_id share a key, and so lie side by side among those of their source, by
+    crc and size. Columns of other names, even those of the result, change nothing. With fewer rows than shards, some shards are empty. grown_shard is null: another number
     of shards is another cut, which the law `rows` doesn't bind to the old one.
     """
     text = text_or_empty()

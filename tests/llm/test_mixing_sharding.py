@@ -102,3 +102,20 @@ def test_shards(spark, corpus):
 def test_fewer_rows_than_shards(spark):
     got = shard(rows(spark, [(1, "a", "s"), (2, None, None)]), shards=5).collect()
     assert sorted(r["slot"] for r in got) == [0, 0] and len({r["shard"] for r in got}) == 2
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark):
+    """Each text of a shared or missing id is a document; the mix still comes near its targets, the shards keep their law."""
+    data = [(None if k % 3 else 7, f"w{k} " * (1 + k % 9), "ab"[k % 2]) for k in range(400)]
+    frame = rows(spark, data).selectExpr("*", "1 as h", "2 as taken", "3 as size", "4 as shard", "5 as position", "6 as _rank", "7 as slot")
+    got = mix(frame).collect()
+    sizes = {s: sum(1 + k % 9 for k in range(400) if "ab"[k % 2] == s) for s in "ab"}
+    want = brute_targets(sizes)
+    for s in "ab":
+        assert abs(sum(r["taken"] for r in got if r["source"] == s) - want[s]) <= 9
+    assert mixed(frame).columns == frame.columns
+    shards = shard(frame, shards=8).collect()
+    by = {}
+    for r in shards:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert len(shards) == 400 and all(sorted(v) == list(range(50)) for v in by.values()) and len(by) == 8
