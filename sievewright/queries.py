@@ -370,10 +370,18 @@ def a14_intensity_histogram(spark, sf_dir):
     return views.dims(spark, sf_dir).select(F.explode(gray).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
-# Clustering: no SQL for complete linkage.
+# Clustering: in SQL a merge of the nearest two clusters a round, over all pairs.
 
+_LINKAGE = f"""WITH RECURSIVE {sql.DIMS}, unit AS (SELECT id, list_transform(e, lambda v: v / (sqrt(list_sum(list_transform(e, lambda w: w * w))) + 1e-8)) AS e FROM d),
+    pairs AS MATERIALIZED (SELECT x.id AS i, y.id AS j, round(greatest(0, list_sum(list_transform(x.e, lambda v: v * v)) + list_sum(list_transform(y.e, lambda v: v * v)) - 2 * list_dot_product(x.e, y.e)), 12) AS far FROM unit x JOIN unit y ON x.id <> y.id),
+    link AS (SELECT 0 AS step, id AS i, id AS label FROM d UNION ALL
+        SELECT step + 1, l.i, CASE WHEN l.label = p.m.b THEN p.m.a ELSE l.label END FROM link l,
+            (SELECT arg_min({{'a': a, 'b': b}}, {{'far': far, 'a': a, 'b': b}}) AS m FROM (SELECT x.label AS a, y.label AS b, max(far) AS far FROM link x JOIN pairs ON pairs.i = x.i JOIN link y ON y.i = pairs.j WHERE x.label < y.label GROUP BY 1, 2 HAVING max(far) < {2 - 2 * CLUSTERS.cosine})) p
+        WHERE p.m IS NOT NULL),
+    found AS (SELECT i AS id, label AS cluster FROM link WHERE step = (SELECT max(step) FROM link))"""
 
-@query()
+
+@query(f"{_LINKAGE} SELECT id, cluster FROM found")
 def c2_complete_linkage(spark, sf_dir):
     return clustering.linkage_clusters(views.dims(spark, sf_dir).select("id", F.col("e").alias("embedding")), CLUSTERS)
 
@@ -385,7 +393,11 @@ def c3_centroid_merge(spark, sf_dir):
     return clustering.merge_clusters(rows.select("id", "cluster"), rows, 0.12)
 
 
-@query()
+@query(f"""{_LINKAGE}, m AS (SELECT cluster, k, avg(e[k]) AS v FROM found JOIN d USING (id), range(1, 65) r(k) GROUP BY cluster, k), n AS (SELECT cluster, sqrt(sum(v * v)) + 1e-8 AS len FROM m GROUP BY cluster),
+    c AS (SELECT cluster, list(v / len ORDER BY k) AS e FROM m JOIN n USING (cluster) GROUP BY cluster), near AS (SELECT x.cluster AS a, y.cluster AS b FROM c x JOIN c y ON x.cluster <> y.cluster WHERE {_DOT} >= {CLUSTERS.merge_cosine}),
+    reach AS (SELECT cluster AS a, cluster AS b FROM c UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b), merged AS (SELECT id, min(b) AS cluster FROM found JOIN reach ON reach.a = found.cluster GROUP BY id),
+    sizes AS (SELECT cluster, count(*) AS n, min(id) AS first FROM merged GROUP BY cluster HAVING count(*) >= {CLUSTERS.min_size}), numbered AS (SELECT cluster, (row_number() OVER (ORDER BY n DESC, first) - 1)::INT AS identity_cluster FROM sizes)
+    SELECT id, identity_cluster FROM merged LEFT JOIN numbered USING (cluster)""")
 def c4_cluster_identities(spark, sf_dir):
     rows = views.dims(spark, sf_dir).select("id", F.col("e").alias("embedding"))
     return clustering.cluster_identities(rows, CLUSTERS).select("id", "identity_cluster")
