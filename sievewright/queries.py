@@ -462,16 +462,30 @@ def a15_run_counts(spark, sf_dir):
     return reports.run_counts(views.read(spark, sf_dir, "events"), rows, rows.select("identity_cluster").distinct(), _survivors(spark, sf_dir))
 
 
-# Selection: from what is left of each person in each video. The diverse pack's fold has no SQL, tests hold it against plain Python.
+# Selection: from what is left of each person in each video. In SQL a fold goes through its rules and rows one a round.
 
 
 def _survivors(spark, sf_dir):
     return dedup.deduplicate(views.candidates(spark, sf_dir), DEDUP, ("video_id", "identity_cluster")).where("kept")
 
 
-@query()
+_SPACED = Selection(spacing=600.0)
+_NAMES = [n for n, _, _ in CATEGORIES]
+
+
+@query(f"""{_SURVIVORS}, w AS (SELECT video_id, identity, k.id, k.t, quality, cats, row_number() OVER (PARTITION BY video_id, identity ORDER BY quality DESC, first, rk) AS place FROM k JOIN kept USING (id) WHERE quality > 0),
+    turns AS (SELECT 1 AS phase, list_position({_NAMES!r}, cat) AS rule, * EXCLUDE (cat) FROM (SELECT *, unnest(cats) AS cat FROM w WHERE quality >= {_SPACED.min_category_quality})
+        UNION ALL SELECT 2, {len(_NAMES) + 1}, * FROM w WHERE quality >= {_SPACED.min_fill_quality} UNION ALL SELECT 3, {len(_NAMES) + 2}, * FROM w WHERE quality >= {_SPACED.min_fill_quality}),
+    o AS (SELECT *, row_number() OVER (PARTITION BY video_id, identity ORDER BY rule, place) AS turn FROM turns),
+    f AS (SELECT DISTINCT video_id, identity, 0::BIGINT AS turn, 0 AS rule, 0 AS phase, []::BIGINT[] AS picked, []::DOUBLE[] AS times, {[0] * len(_NAMES)} AS used, 0 AS covered, NULL::BIGINT AS id, NULL::VARCHAR[] AS cats, false AS ok FROM o
+        UNION ALL SELECT video_id, identity, turn, rule, phase, CASE WHEN ok THEN list_append(picked, id) ELSE picked END, CASE WHEN ok THEN list_append(times, t) ELSE times END,
+            CASE WHEN ok THEN list_transform(range(1, {len(_NAMES) + 1}), lambda i: used[i] + CASE WHEN phase = 1 THEN (i = rule)::INT ELSE list_contains(cats, ({_NAMES!r})[i])::INT END) ELSE used END, CASE WHEN ok AND phase = 1 THEN rule ELSE covered END, id, cats, ok
+        FROM (SELECT f.video_id, f.identity, o.turn, o.rule, o.phase, f.picked, f.times, f.used, f.covered, o.id, o.cats, o.t, len(f.picked) < {_SPACED.pack} AND NOT list_contains(f.picked, o.id)
+                AND CASE o.phase WHEN 1 THEN f.covered <> o.rule WHEN 2 THEN len(list_filter(f.times, lambda x: abs(x - o.t) < {_SPACED.spacing})) = 0 AND (len(o.cats) = 0 OR len(list_filter(o.cats, lambda c: f.used[list_position({_NAMES!r}, c)] < {_SPACED.per_category})) > 0) ELSE true END AS ok
+            FROM f JOIN o ON o.video_id = f.video_id AND o.identity = f.identity AND o.turn = f.turn + 1))
+    SELECT video_id, identity AS identity_cluster, id, len(picked)::INT AS pick, phase, array_to_string(cats, ',') AS categories FROM f WHERE ok""")
 def k1_k4_diverse_pack(spark, sf_dir):
-    got = selection.diverse_pack(_survivors(spark, sf_dir), Selection(spacing=600.0))
+    got = selection.diverse_pack(_survivors(spark, sf_dir), _SPACED)
     return got.select("video_id", "identity_cluster", "id", "pick", "phase", F.array_join("categories", ",").alias("categories"))
 
 
