@@ -156,7 +156,7 @@ def _forward(p: dict[str, np.ndarray], x: np.ndarray, counts: np.ndarray, words:
     return _sigmoid(z @ p["c"] + p["b"]), x, h, t, g, share, z, starts
 
 
-def train(x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = 60, seed: int = 3, rate: float = 0.02, batch: int = 256, words: np.ndarray | None = None, grams: np.ndarray | None = None, steps: int = 500) -> Model:
+def train(x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = 60, seed: int = 3, rate: float = 0.02, batch: int = 256, words: np.ndarray | None = None, grams: np.ndarray | None = None, steps: int = 150) -> Model:
     """Fit by Adam on the mean log loss with a little decay; each class has at least a third of the total weight.
 
     The data are gone through `epochs` times, or as often as about `steps` batches take. The buckets' vectors begin at
