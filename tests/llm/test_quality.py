@@ -140,8 +140,8 @@ def test_classifier_tells_texts_that_differ_by_words_only(spark):
 
 
 def test_training_is_bounded(spark):
-    docs = spark.createDataFrame([(k % 7, f"a text {k} " * 40) for k in range(300)], "doc_id long, text string")
-    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(7)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(k % 100, f"a text {k} " * 40) for k in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(100)], "doc_id long, quality int, toxic int")
     seen = []
     real, quality_mil.train = quality_mil.train, lambda x, counts, y, **more: seen.append((len(counts), counts.sum())) or real(x, counts, y, epochs=1, **more)
     try:
