@@ -170,10 +170,9 @@ def _tokens(dense: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     of = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "cls"))
     held = cut(sets.groupBy("shingle").agg(F.count("*").alias("df"), of(3).alias("h1"), of(5).alias("h2")).where("df > 1"))
     weighed = sets.join(held, "shingle").groupBy("cls", "df", "h1", "h2").agg(F.count("*").alias("w"), F.min("shingle").alias("token"))
-    listed = weighed.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "token", "w"))).alias("t"))
-    weights = F.transform("t", lambda x: x["w"])
-    lefts = F.transform("t", lambda x, i: F.struct(x["df"], x["token"], x["w"], F.aggregate(F.slice(weights, i + 1, F.size("t")), F.lit(0).cast("long"), lambda a, w: a + w).alias("left")))
-    return cut(listed.select("cls", lefts.alias("tokens")).join(dense, "cls"))
+    rarest_last = Window.partitionBy("cls").orderBy(F.desc("df"), F.desc("token")).rowsBetween(Window.unboundedPreceding, 0)
+    left = weighed.withColumn("left", F.sum("w").over(rarest_last))
+    return cut(left.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "token", "w", "left"))).alias("tokens")).join(dense, "cls"))
 
 
 def _need(threshold: int, n: str, other: str) -> str:
