@@ -1,10 +1,10 @@
 """Identities from embeddings: exact complete linkage, centroid merging, numbering and the choice of a target.
 
 A complete-linkage cluster needs every pair under the threshold, so no cluster crosses a component of the threshold graph.
-Links that span the graph come from blocked matrix products, block against block, its components from rounds of joins. Small
-components are agglomerated in a task each. In larger ones all pairs of clusters that are each other's nearest merge at
-once, round by round, with distances from blocked products again: complete linkage gives the same clusters in any order of
-such merges, as a merge brings no other clusters nearer. No task holds more than two blocks, and no component is refused.
+Its links come from blocked matrix products, block against block, its components from rounds of joins. Small
+components are agglomerated in a task each. Larger ones go up by levels: a pass of blocked products over all pairs lists the
+cluster pairs up to a distance that gives a cluster a few dozen of them, and these are merged without vectors, as a merged
+cluster's distance is the larger of its parts'. No task holds more than two blocks, and no component is refused.
 """
 
 from __future__ import annotations
@@ -33,19 +33,35 @@ def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.round(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0), 12)
 
 
-def farthest(x: np.ndarray, of_x: np.ndarray, y: np.ndarray, of_y: np.ndarray, cells: int = 1 << 22) -> np.ndarray:
-    """The largest squared distance between the members of each cluster of x and each of y. of_x, of_y: sorted numbers of the
-    rows' clusters, from 0. Worked on in strips of rows, so that no matrix of all rows is made."""
-    out = np.zeros((of_x[-1] + 1, of_y[-1] + 1))
+def _farthest(x: np.ndarray, of_x: np.ndarray, y: np.ndarray, of_y: np.ndarray, cells: int) -> np.ndarray:
+    """farthest, before it is brought to twelve places."""
     starts = np.flatnonzero(np.r_[True, of_y[1:] != of_y[:-1]])
     rows = max(1, cells // len(y))
-    for k in range(0, len(x), rows):
-        d, own = np.maximum.reduceat(squares(x[k : k + rows], y), starts, axis=1), of_x[k : k + rows]
+    # One product gives |a|^2 + |b|^2 - 2ab.
+    x = np.c_[-2 * x, (x * x).sum(1), np.ones(len(x))]
+    y = np.ascontiguousarray(np.c_[y, np.ones(len(y)), (y * y).sum(1)].T)
+
+    def strip(k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        out[own[first]] = np.maximum(out[own[first]], np.maximum.reduceat(d, first, axis=0))
+        d = x[k : k + rows] @ y
+        d = np.maximum.reduceat(d, first, axis=0) if len(first) < len(own) else d
+        return own[first], np.maximum.reduceat(d, starts, axis=1) if len(starts) < len(of_y) else d
+
+    if len(x) <= rows:
+        return strip(0, of_x)[1]
+    out = np.full((of_x[-1] + 1, len(starts)), -np.inf)
+    for k in range(0, len(x), rows):
+        own, d = strip(k, of_x[k : k + rows])
+        out[own] = np.maximum(out[own], d)
     return out
 
 
+def farthest(x: np.ndarray, of_x: np.ndarray, y: np.ndarray, of_y: np.ndarray, cells: int = 1 << 22) -> np.ndarray:
+    """The largest squared distance between the members of each cluster of x and each of y. of_x, of_y: sorted numbers of the
+    rows' clusters, from 0. Worked on in strips of rows, so that no matrix of all rows is made."""
+    return np.round(np.maximum(_farthest(x, of_x, y, of_y, cells), 0), 12)
+
+
 def agglomerate(d: np.ndarray, limit: float) -> np.ndarray:
     """Labels of the agglomeration that merges the nearest two clusters while they are nearer than limit, d[i, j] being the largest
     distance between members of i and j; d is used up. Ties go to the lowest numbers.
@@ -82,10 +98,12 @@ def complete_linkage(vectors: np.ndarray, limit: float) -> np.ndarray:
     return agglomerate(squares(vectors, vectors), limit * limit) if len(vectors) else np.arange(0)
 
 
-#: Rows of a block in pairwise products: a block pair's matrix of doubles has 32 MB.
-BLOCK_ROWS = 2048
+#: Rows of a block in pairwise products, which are made in strips of 32 MB.
+BLOCK_ROWS = 4096
 #: Clusters, and rows in them, of a component that one task agglomerates.
 TASK_CLUSTERS, TASK_ROWS = 2048, 16384
+#: Links of a cluster that a level lists at least, and links of a component that one task merges; more are merged by joins first.
+LEVEL_LINKS, TASK_LINKS = 48, 3_000_000
 
 
 def _plain(values) -> pd.Series:
@@ -97,24 +115,37 @@ def _vectors(pdf: pd.DataFrame) -> np.ndarray:
     return unit_rows(np.stack([np.asarray(v, np.float64) for v in pdf["embedding"]])) if len(pdf) else np.zeros((0, 1))
 
 
-def _block_pairs(rows: DataFrame, by: str, keys: list[str], blocks: DataFrame | int) -> DataFrame:
-    """rows once for each pair of blocks that their own block, a hash of column `by`, is in: _b, the block, and _p, the pair."""
+def _block_pairs(rows: DataFrame, by: str, keys: list[str], blocks: DataFrame | int, own: bool | None = None) -> DataFrame:
+    """rows once for each pair of blocks that their own block, a hash of column `by`, is in: _b, the block, and _p, the pair.
+    own: only a block's pair with itself, or only its pairs with others."""
     rows = rows.withColumn("_n", F.lit(blocks)) if isinstance(blocks, int) else rows.join(blocks.withColumnRenamed("blocks", "_n"), keys)
     dealt = rows.withColumn("_b", F.pmod(F.xxhash64(by), F.col("_n")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("_n").cast("int") - 1), lambda k: F.struct(F.least(F.col("_b"), k).alias("i"), F.greatest(F.col("_b"), k).alias("j")))
+    others = F.array("_b") if own else F.sequence(F.lit(0), F.col("_n").cast("int") - 1)
+    others = F.array_remove(others, F.col("_b")) if own is False else others
+    pairs = F.transform(others, lambda k: F.struct(F.least(F.col("_b"), k).alias("i"), F.greatest(F.col("_b"), k).alias("j")))
     return dealt.withColumn("_p", F.explode(pairs)).drop("_n")
 
 
-def _number_of_blocks(rows: DataFrame, keys: tuple[str, ...]) -> int:
-    largest = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    return max(1, -(-largest // BLOCK_ROWS))
+def _apart(sent: DataFrame, by: list[str], groups: int) -> DataFrame:
+    """sent dealt out by columns into a number of tasks that Spark won't put together for their few bytes: a group's work is in its products."""
+    spark = sent.sparkSession
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)
+    return sent.repartition(max(1, min(2 * groups, most)), *by)
+
+
+def _blocks(rows: DataFrame, keys: tuple[str, ...]) -> tuple[int, int]:
+    """How many blocks keep the largest key's near BLOCK_ROWS rows, and how many keys there are."""
+    largest, many = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n"), F.count("*")).first()
+    return max(1, -(-(largest or 0) // BLOCK_ROWS)), many
 
 
-def _near_pairs(rows: DataFrame, limit: float, keys: tuple[str, ...], blocks: int | None, pick: Callable[[np.ndarray], tuple]) -> DataFrame:
+def _near_pairs(rows: DataFrame, limit: float, keys: tuple[str, ...], blocks: int | None, pick: Callable[[np.ndarray], tuple], own: bool | None = None) -> DataFrame:
     """(a, b, keys) of the pairs of ids of one key that pick chooses from a block pair's matrix of what is nearer than limit."""
     ship(rows.sparkSession)
     usable = rows.where("embedding is not null").select("id", "embedding", *keys)
-    sent = _block_pairs(usable, "id", list(keys), blocks or _number_of_blocks(usable, keys))
+    most, many = _blocks(usable, keys)
+    blocks = blocks or most
+    sent = _apart(_block_pairs(usable, "id", list(keys), blocks, own), [*keys, "_p"], many * (blocks if own else blocks * (blocks + 1) // 2))
     kinds = {f.name: f.dataType.simpleString() for f in usable.schema.fields}
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -123,7 +154,9 @@ def _near_pairs(rows: DataFrame, limit: float, keys: tuple[str, ...], blocks: in
         left, right = pdf[pdf["_b"] == i], pdf[pdf["_b"] == j]
         if not len(left) or not len(right):
             return pd.DataFrame({c: [] for c in ("a", "b", *keys)})
-        near = squares(_vectors(left), _vectors(right)) < limit * limit
+        x, y = _vectors(left), _vectors(right)
+        strip = max(1, (1 << 22) // len(y))
+        near = np.concatenate([squares(x[k : k + strip], y) < limit * limit for k in range(0, len(x), strip)])
         p, q = pick(np.triu(near, 1) if i == j else near)
         a, b = left["id"].to_numpy()[p], right["id"].to_numpy()[q]
         return pd.DataFrame({"a": _plain(np.minimum(a, b)), "b": _plain(np.maximum(a, b)), **{k: _plain([pdf[k].iloc[0]] * len(a)) for k in keys}})
@@ -163,11 +196,6 @@ def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(p, int), np.array(q, int)
 
 
-def spanning_links(rows: DataFrame, cosine_above: float, blocks: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(a, b, keys): pairs of similar_pairs that leave the same components, at most two blocks' rows for each block pair."""
-    return _near_pairs(rows, math.sqrt(max(0.0, 2 - 2 * cosine_above)), keys, blocks, _forest)
-
-
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (id) with `component`, the least id reachable: labels spread over edges and are shortened until none changes."""
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
@@ -190,6 +218,47 @@ def _by_cluster(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _vectors(pdf), number, names
 
 
+def _links_across(rows: DataFrame, limit: float, keys: tuple[str, ...], blocks: int, groups: int, kind: str) -> DataFrame:
+    """(a, b): pairs of clusters of rows (id, embedding, cluster, keys) in different blocks that have members nearer than limit, as many
+    as join them as all such pairs do. Clusters that are known to be linked aren't compared again."""
+    sent = _apart(_block_pairs(rows, "id", list(keys), blocks, False), [*keys, "_p"], groups)
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["_p"].iloc[0]["i"], pdf["_p"].iloc[0]["j"]
+        left, right = pdf[pdf["_b"] == i], pdf[pdf["_b"] == j]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []})
+        (x, of_x, a), (y, of_y, b) = _by_cluster(left), _by_cluster(right)
+        linked, lo, strip = np.zeros((len(a), len(b)), bool), 0, 64
+        while lo < len(x):
+            own = of_x[lo : lo + strip]
+            open_ = np.flatnonzero(~linked[np.unique(own)].all(axis=0)[of_y])
+            if len(open_):
+                r, c = np.nonzero(squares(x[lo : lo + strip], y[open_]) < limit * limit)
+                linked[own[r], of_y[open_[c]]] = True
+            lo, strip = lo + strip, max(1, (1 << 22) // len(y))
+        p, q = _forest(linked)
+        return pd.DataFrame({"a": pd.Series(a[p], dtype=a.dtype), "b": pd.Series(b[q], dtype=b.dtype)})
+
+    return sent.groupBy(*keys, "_p").applyInPandas(work, f"a {kind}, b {kind}")
+
+
+def near_components(rows: DataFrame, cosine_above: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """rows (id, embedding, keys; no null embedding) as (id, component): the least id that links of similar_pairs reach.
+
+    First each block by itself, then the blocks' components over pairs of blocks, at most two blocks' rows in a task.
+    """
+    limit, kind = math.sqrt(max(0.0, 2 - 2 * cosine_above)), rows.schema["id"].dataType.simpleString()
+    blocks, many = _blocks(rows, keys)
+    own = components(rows, cut(_near_pairs(rows, limit, keys, blocks, _forest, True).select("a", "b")))
+    if blocks == 1:
+        return own
+    found = rows.join(own, "id").withColumnRenamed("component", "cluster")
+    across = cut(_links_across(found, limit, keys, blocks, many * blocks * (blocks - 1) // 2, kind))
+    whole = components(own.select(F.col("component").alias("id")).distinct(), across)
+    return own.withColumnRenamed("component", "_own").join(whole.select(F.col("id").alias("_own"), "component"), "_own").select("id", "component")
+
+
 def _finished(rows: DataFrame, limit: float, kind: str) -> DataFrame:
     """(id, cluster) of rows (id, cluster, embedding, component): clusters merged until none can be, each component in a task."""
 
@@ -201,39 +270,136 @@ def _finished(rows: DataFrame, limit: float, kind: str) -> DataFrame:
     return rows.groupBy("component").applyInPandas(work, f"id {kind}, cluster {kind}")
 
 
-def _nearest(rows: DataFrame, limit: float, kind: str) -> DataFrame:
-    """(cluster, near): for each cluster of rows (cluster, embedding, component) the one of its component whose farthest member
-    is nearest, if nearer than limit, the lowest in ties. Whole clusters are dealt into blocks."""
-    sizes = rows.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
-    sent = _block_pairs(rows, "cluster", ["component"], sizes)
+def _lowest(d: np.ndarray, most: int) -> float:
+    """A bound that about that many of the distances don't exceed; infinite if there are no more."""
+    return float(np.partition(d, most)[most]) if len(d) > most else math.inf
+
+
+def _links(rows: DataFrame, limit: float, kind: str) -> DataFrame:
+    """(component, a, b, d): pairs of clusters of rows (id, cluster, embedding, component) whose farthest members are nearer than limit,
+    a < b. Of many, a block pair lists those up to a bound, so that a component has not many more than a task merges, or a cluster
+    LEVEL_LINKS; it also gives its bound, in a row with a = b, infinite if it lists all. Whole clusters are dealt into blocks."""
+    sizes = cut(rows.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"), F.count_distinct("cluster").alias("_clusters")))
+    pairs = sizes.agg(F.sum(F.expr("blocks * (blocks + 1) div 2"))).first()[0]
+    sent = _apart(_block_pairs(rows, "cluster", ["component"], sizes), ["component", "_p"], pairs)
+    per, ties, cells = LEVEL_LINKS, TASK_LINKS, 1 << 22
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["_p"].iloc[0]["i"], pdf["_p"].iloc[0]["j"]
+        component, clusters = pdf["component"].iloc[0], int(pdf["_clusters"].iloc[0])
         left, right = pdf[pdf["_b"] == i], pdf[pdf["_b"] == j]
         if not len(left) or not len(right):
-            return pd.DataFrame({"cluster": [], "d": [], "near": []})
-        (x, of_x, a), (y, of_y, b) = _by_cluster(left), _by_cluster(right)
-        d = farthest(x, of_x, y, of_y)
-        if i == j:
-            np.fill_diagonal(d, np.inf)
-        out = []
-        for m, own, other in ((d, a, b), (d.T, b, a))[: 1 if i == j else 2]:
-            near = m.argmin(1)
-            least = m[np.arange(len(own)), near]
-            ok = least < limit * limit
-            out.append(pd.DataFrame({"cluster": _plain(own[ok]), "d": least[ok], "near": _plain(other[near[ok]])}))
-        return pd.concat(out)
-
-    found = sent.groupBy("component", "_p").applyInPandas(work, f"cluster {kind}, d double, near {kind}")
-    best = F.min(F.struct("d", F.least("cluster", "near").alias("lo"), F.greatest("cluster", "near").alias("hi"))).alias("m")
-    return found.groupBy("cluster").agg(best).select("cluster", F.when(F.col("m.lo") == F.col("cluster"), F.col("m.hi")).otherwise(F.col("m.lo")).alias("near"))
+            return pd.DataFrame({"component": [], "a": [], "b": [], "d": []})
+        x, of_x, a = _by_cluster(left)
+        y, of_y, b = _by_cluster(right) if i < j else (x, of_x, a)
+        aim = max(per, 1.6 * ties / clusters)
+        most = math.ceil(aim * len(a) * len(b) / (clusters if i < j else 2 * clusters))
+        p, q, d, bound = np.zeros(0, int), np.zeros(0, int), np.zeros(0), math.inf
+        starts = np.searchsorted(of_x, np.arange(len(a) + 1))
+        lo = 0
+        while lo < len(a):
+            hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + max(1, cells // len(y)), "right")) - 1)
+            far = _farthest(x[starts[lo] : starts[hi]], of_x[starts[lo] : starts[hi]] - lo, y, of_y, cells)
+            r, c = np.nonzero(far < min(bound, limit * limit) + 1e-11)
+            far = np.round(np.maximum(far[r, c], 0), 12)
+            near = (far < limit * limit) & (far <= bound) & ((i < j) | (c > r + lo))
+            p, q, d, lo = np.r_[p, r[near] + lo], np.r_[q, c[near]], np.r_[d, far[near]], hi
+            bound = min(bound, _lowest(d, most))
+            keep = np.flatnonzero(d <= bound)
+            if len(keep) > most + ties:  # of very many equal distances any may wait for the next level
+                keep = keep[np.argsort(d[keep], kind="stable")[: most + ties]]
+            p, q, d = p[keep], q[keep], d[keep]
+        u, v = np.minimum(a[p], b[q]), np.maximum(a[p], b[q])
+        end = a[:1]
+        return pd.DataFrame({"component": _plain([component] * (len(d) + 1)), "a": pd.Series(np.r_[u, end], dtype=a.dtype), "b": pd.Series(np.r_[v, end], dtype=a.dtype), "d": np.r_[d, bound]})
+
+    return sent.groupBy("component", "_p").applyInPandas(work, f"component {kind}, a {kind}, b {kind}, d double")
+
+
+def merge_links(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """Labels of n clusters after all merges over links (a < b at distance d), each pair of clusters once: clusters without a link
+    are too far from each other, as are merged ones if any of their parts are.
+
+    All pairs of clusters that are each other's nearest merge at once, round by round; ties go to the lowest numbers.
+    """
+    label = np.arange(n)
+    while len(d):
+        least = np.full(n, np.inf)
+        np.minimum.at(least, a, d)
+        np.minimum.at(least, b, d)
+        near = np.flatnonzero((d == least[a]) | (d == least[b]))
+        near = near[np.lexsort((b[near], a[near], d[near]))]
+        u, v, place = a[near], b[near], np.arange(len(near))
+        first = np.full(n, len(near))
+        for end in (u, v):
+            np.minimum.at(first, end, place)
+        mutual = (first[u] == place) & (first[v] == place)
+        into, parts = np.arange(n), np.ones(n, int)
+        into[v[mutual]], parts[u[mutual]] = u[mutual], 2
+        label = into[label]
+        p, q = into[a], into[b]
+        p, q = np.minimum(p, q), np.maximum(p, q)
+        same, moved = p == q, (parts[p] > 1) | (parts[q] > 1)
+        stay, moved = ~moved, np.flatnonzero(moved & ~same)
+        moved = moved[np.argsort(p[moved] * n + q[moved], kind="stable")]
+        starts = np.flatnonzero(np.r_[True, (np.diff(p[moved]) != 0) | (np.diff(q[moved]) != 0)]) if len(moved) else moved
+        far = np.maximum.reduceat(d[moved], starts) if len(moved) else d[moved]
+        head = moved[starts] if len(moved) else moved
+        whole = np.diff(np.r_[starts, len(moved)]) == parts[p[head]] * parts[q[head]]
+        a, b, d = np.r_[a[stay], p[head][whole]], np.r_[b[stay], q[head][whole]], np.r_[d[stay], far[whole]]
+    return label
+
+
+def _merged_in_task(links: DataFrame, kind: str) -> DataFrame:
+    """(cluster, into) of the clusters that are merged into another one over links (component, a, b, d), each component in a task."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, number = np.unique(np.r_[pdf["a"].to_numpy(), pdf["b"].to_numpy()], return_inverse=True)
+        label = merge_links(number[: len(pdf)], number[len(pdf) :], pdf["d"].to_numpy(), len(names))
+        gone = np.flatnonzero(label != np.arange(len(names)))
+        return pd.DataFrame({"cluster": _plain(names[gone].tolist()), "into": _plain(names[label[gone]].tolist())})
+
+    return links.groupBy("component").applyInPandas(work, f"cluster {kind}, into {kind}")
+
+
+def _round(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A round of merge_links by joins: (cluster, into) of the merged clusters, and the links that are left."""
+    least = F.min(F.struct("d", "a", "b")).alias("m")
+    ends = links.select(F.col("a").alias("c"), "d", "a", "b").union(links.select(F.col("b").alias("c"), "d", "a", "b"))
+    mutual = cut(ends.groupBy("c").agg(least).groupBy("m.a", "m.b").agg(F.count("*").alias("n")).where("n = 2").select(F.col("b").alias("cluster"), F.col("a").alias("into")))
+    part = mutual.select("cluster", "into").union(mutual.select(F.col("into").alias("cluster"), "into"))
+    left, right = (part.select(F.col("cluster").alias(c), F.col("into").alias(f"_{c}")) for c in ("a", "b"))
+    both = links.join(left, "a", "left").join(right, "b", "left")
+    two = lambda c: F.when(F.col(f"_{c}").isNull(), 1).otherwise(2)
+    moved = both.select("component", F.coalesce("_a", "a").alias("p"), F.coalesce("_b", "b").alias("q"), "d", (two("a") * two("b")).alias("parts")).where("p <> q")
+    left = moved.groupBy("component", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.max("d").alias("d"), F.count("*").alias("n"), F.max("parts").alias("parts"))
+    return mutual, cut(left.where("n = parts").select("component", "a", "b", "d"))
+
+
+def _renamed(rows: DataFrame, into: DataFrame) -> DataFrame:
+    return rows.join(into, "cluster", "left").withColumn("cluster", F.coalesce("into", "cluster")).drop("into")
+
+
+def _level(rows: DataFrame, limit: float, kind: str) -> tuple[DataFrame, DataFrame]:
+    """rows (id, cluster, embedding, component) after all merges up to each component's level, and the components whose level is limit."""
+    found = cut(_links(rows, limit, kind))
+    level = cut(found.where("a = b").groupBy("component").agg(F.min("d").alias("level")))
+    links = found.where("a < b").join(level, "component").where("d <= level").drop("level")
+    while True:
+        held = cut(links.groupBy("component").agg(F.count("*").alias("_links")))
+        many = held.where(f"_links > {TASK_LINKS}").select("component")
+        rows = cut(_renamed(rows, _merged_in_task(links.join(many, "component", "left_anti"), kind)))
+        if many.isEmpty():
+            return rows, level.where("level = double('infinity')").select("component")
+        into, links = _round(links.join(many, "component"))
+        rows = _renamed(rows, into)
 
 
 def linkage_clusters(rows: DataFrame, p: Clustering = Clustering(), keys: tuple[str, ...] = ()) -> DataFrame:
     """(id, cluster): the least id of each complete-linkage cluster. Rows without an embedding are left out.
 
     Rows of equal embeddings are one from the start, however many. Components of up to TASK_CLUSTERS rows end in a task;
-    larger ones go through rounds of mutual nearest neighbours until what can still merge is as few, or nothing can. Only if
+    larger ones go up by levels until as few clusters are left, or nothing can merge. Only if
     max_component is set, a component of more distinct rows raises ComponentTooLarge.
     """
     ship(rows.sparkSession)
@@ -242,7 +408,7 @@ def linkage_clusters(rows: DataFrame, p: Clustering = Clustering(), keys: tuple[
     usable = rows.where("embedding is not null").select("id", "embedding", *keys)
     alike = cut(usable.groupBy(*keys, "embedding").agg(F.min("id").alias("_first"), F.count("*").alias("_n")))
     distinct = cut(alike.select(F.col("_first").alias("id"), "embedding", *keys))
-    comp = components(distinct, spanning_links(distinct, p.cosine, keys=keys))
+    comp = near_components(distinct, p.cosine, keys)
     if p.max_component is not None:
         largest = comp.groupBy("component").count().agg(F.max("count")).first()[0] or 0
         if largest > p.max_component:
@@ -257,12 +423,9 @@ def linkage_clusters(rows: DataFrame, p: Clustering = Clustering(), keys: tuple[
         active = cut(sized.where(f"not ({small})").drop("_rows", "_clusters"))
         if active.isEmpty():
             break
-        near = cut(_nearest(active, limit, kind))
-        # What has no neighbour near enough never will: merges only take clusters farther from each other.
-        over = active.join(near, "cluster", "left_anti")
-        done.append(cut(over.select("id", "cluster")))
-        mutual = near.groupBy(F.least("cluster", "near").alias("lo"), F.greatest("cluster", "near").alias("hi")).agg(F.count("*").alias("n")).where("n = 2").select("lo", F.col("hi").alias("cluster"))
-        active = cut(active.join(near.select("cluster"), "cluster").join(mutual, "cluster", "left").select("id", "embedding", "component", F.coalesce("lo", "cluster").alias("cluster")))
+        merged, over = _level(active, limit, kind)
+        done.append(merged.join(over, "component").select("id", "cluster"))
+        active = merged.join(over, "component", "left_anti")
     found = done[0]
     for part in done[1:]:
         found = found.unionByName(part)

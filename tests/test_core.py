@@ -423,3 +423,27 @@ def test_reference_pack_of_thinned_out_rows(spark):
     scored = frame.where("quality is not null").withColumn("score", selection.reference_score(F.col("quality"), F.col("sharpness"), F.col("pose"))).withColumn("cats", selection.categories_for(F.col("pose"), F.col("expressions"))).orderBy("sel_ord").collect()
     want = selection.fold_reference([(r["id"], r["score"], r["cats"]) for r in scored], 16, 3)
     assert [r["id"] for r in selection.reference_pack(frame, size=16).orderBy("pick").collect()] == want
+
+
+def test_merges_over_links_are_those_of_the_whole_matrix():
+    rng = np.random.default_rng(2)
+    for n, dim, least in ((1, 3, 0.1), (200, 4, 0.2), (300, 32, 0.1)):
+        d = clustering.squares(*[clustering.unit_rows(rng.normal(size=(n, dim)))] * 2)
+        a, b = np.nonzero(np.triu(d < 2 - 2 * least, 1))
+        assert clustering.merge_links(a, b, d[a, b], n).tolist() == clustering.agglomerate(d, 2 - 2 * least).tolist()
+
+
+def test_levels_need_few_passes_and_many_tasks(spark, monkeypatch):
+    """A component larger than all limits: a few passes over all pairs instead of one for each round of merges; block pairs are
+    dealt to several tasks, however few bytes they have; links beyond a task's are merged by joins."""
+    for name, value in {"BLOCK_ROWS": 50, "TASK_CLUSTERS": 2, "LEVEL_LINKS": 20, "TASK_LINKS": 100}.items():
+        monkeypatch.setattr(clustering, name, value)
+    passes, deal = [], clustering._block_pairs
+    monkeypatch.setattr(clustering, "_block_pairs", lambda *a: passes.append(a) or deal(*a))
+    x = np.random.default_rng(8).normal(size=(150, 5))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>").repartition(3)
+    assert clustering.similar_pairs(rows, 0.3).rdd.getNumPartitions() > 1
+    passes.clear()
+    got = sorted((r["id"], r["cluster"]) for r in clustering.linkage_clusters(rows, Clustering(cosine=0.3)).collect())
+    assert [c for _, c in got] == clustering.complete_linkage(clustering.unit_rows(x), math.sqrt(1.4)).tolist()
+    assert len(passes) <= 7
