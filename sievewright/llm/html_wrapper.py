@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,8 +46,8 @@ BLOCK_PAGES = 64
 TEMPLATE_PAGES, TEMPLATE_SHARE, TEMPLATE_MOST = 5, 0.8, 0.5
 #: Elements nested deeper are taken for siblings of what is in them, as browsers do; their text stays, and their end tags close no other element.
 DEPTH = 200
-#: Cells of an alignment's table beyond which children are aligned in one pass: each with the next one of its label.
-CELLS = 250_000
+#: Cells of an alignment's table beyond which its rows are made at once; the alignment is the same.
+CELLS = 2_500
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<(?=[a-zA-Z/])[^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -213,8 +213,8 @@ def _match(a: Node, b: Node, memo: dict) -> tuple[int, list]:
         return memo[key]
     x, y = a.children, b.children
     if len(x) * len(y) > CELLS:
-        pairs = _next_of_label(x, y)
-        memo[key] = (NODE + sum(_match(p, q, memo)[0] for p, q in pairs), pairs)
+        weight, pairs = _by_rows(x, y, memo)
+        memo[key] = (NODE + weight, pairs)
         return memo[key]
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i, p in enumerate(x, 1):
@@ -235,18 +235,69 @@ def _match(a: Node, b: Node, memo: dict) -> tuple[int, list]:
     return memo[key]
 
 
-def _next_of_label(x: list[Node], y: list[Node]) -> list[tuple[Node, Node]]:
-    places: dict[str, list[int]] = {}
-    for j, q in enumerate(y):
-        places.setdefault(q.label, []).append(j)
-    pairs, after = [], 0
+def _kind(n: Node, memo: dict) -> tuple[int, int, frozenset]:
+    """(number of n's shape, that is all that it matches but for equal texts, number of its content, its texts)."""
+    known, numbers = memo.setdefault("kinds", {}), memo.setdefault("numbers", {})
+    if id(n) not in known:
+        texts: frozenset = frozenset()
+        if n.skip:
+            shape = content = (n.label, True)
+        elif n.tag == "#":
+            texts = frozenset() if n.text.isspace() else frozenset((n.text,))
+            shape, content = (n.label, False), (n.label, False, texts)
+        else:
+            of = [_kind(c, memo) for c in n.children]
+            shape, content = (n.label, "shape", tuple(k[0] for k in of)), (n.label, "content", tuple(k[1] for k in of))
+            texts = frozenset().union(*(k[2] for k in of))
+        known[id(n)] = numbers.setdefault(shape, len(numbers)), numbers.setdefault(content, len(numbers)), texts
+    return known[id(n)]
+
+
+def _by_rows(x: list[Node], y: list[Node], memo: dict) -> tuple[int, list]:
+    """The best alignment of long lists of children, as by the table in _match, with a row of it at once and two bits kept of a cell.
+
+    Nodes without a common text match as their shapes do; what a shape or a content matches is worked out once.
+    """
+    kinds = [_kind(q, memo) for q in y]
+    shapes: dict[int, Node] = {}
+    contents: dict[int, list[int]] = {}
+    holders: dict[str, set[int]] = {}
+    for j, (s, c, texts) in enumerate(kinds):
+        shapes.setdefault(s, y[j])
+        contents.setdefault(c, []).append(j)
+        for t in texts:
+            holders.setdefault(t, set()).add(c)
+    order = {s: k for k, s in enumerate(shapes)}
+    at = np.array([order[k[0]] for k in kinds])
+    places = {c: np.array(js) for c, js in contents.items()}
+    weights: dict = {}
+
+    def weight(p: Node, q: Node, key: tuple) -> int:
+        if key not in weights:
+            weights[key] = _match(p, q, memo)[0] if p.label == q.label else 0
+        return weights[key]
+
+    above, ups, lefts = np.zeros(len(y) + 1, np.int64), [], []
     for p in x:
-        own = places.get(p.label, [])
-        k = bisect_left(own, after)
-        if k < len(own):
-            pairs.append((p, y[own[k]]))
-            after = own[k] + 1
-    return pairs
+        shape, content, texts = _kind(p, memo)
+        w = np.array([weight(p, q, (shape, s)) // NODE * NODE for s, q in shapes.items()], np.int64)[at]
+        for c in set().union(*(holders.get(t, ()) for t in texts)):
+            w[places[c]] = weight(p, y[contents[c][0]], (content, c))
+        row = np.r_[0, np.maximum.accumulate(np.maximum(above[1:], above[:-1] + w))]
+        ups.append(np.packbits(row[1:] == above[1:]))
+        lefts.append(np.packbits(row[1:] == row[:-1]))
+        above = row
+    pairs, i, j = [], len(x), len(y)
+    while i and j:
+        byte, bit = (j - 1) >> 3, 128 >> ((j - 1) & 7)
+        if ups[i - 1][byte] & bit:
+            i -= 1
+        elif lefts[i - 1][byte] & bit:
+            j -= 1
+        else:
+            pairs.append((x[i - 1], y[j - 1]))
+            i, j = i - 1, j - 1
+    return int(above[-1]), pairs
 
 
 def aligned(a: Node, b: Node) -> list[tuple[Node, Node]]:

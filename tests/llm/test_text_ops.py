@@ -108,6 +108,24 @@ def test_long_pages_are_aligned_in_one_pass():
     assert all(t.split("\n\n")[1] == "Always here" and t.count("\n\n") == 701 for t in texts)
 
 
+def test_long_lists_are_aligned_as_short_ones(monkeypatch):
+    """A notice that is elsewhere in each page is found in pages of any length, and the alignment is the same by either way."""
+    for n in (12, 600):
+        bodies = ["".join(f"<p>{x} says {i}</p>" + "<p>Always here</p>" * (i == 2 + k) for i in range(n + k)) for k, x in enumerate("abcdef")]
+        texts = html_wrapper.extract([page(str(k), b) for k, b in enumerate(bodies)])
+        assert not any("Always here" in t for t in texts) and [t.count(" says ") for t in texts] == [n + k for k in range(6)]
+    import random
+
+    pick = random.Random(4)
+    for _ in range(60):
+        items = lambda: "".join(pick.choice(["<p>a</p>", "<p>b <b>c</b></p>", "<p>b <b>d</b><i>a</i></p>", "<div><p>a</p> <p>e</p></div>", "<nav>x</nav>", " ", "<ul><li>a<li>b</ul>"]) for _ in range(pick.randrange(9)))
+        a, b = (html_wrapper.parse(f"<body>{items()}</body>") for _ in range(2))
+        monkeypatch.setattr(html_wrapper, "CELLS", 10**9)
+        small = html_wrapper.match(a, b, {}), html_wrapper.aligned(a, b)
+        monkeypatch.setattr(html_wrapper, "CELLS", 0)
+        assert (html_wrapper.match(a, b, {}), html_wrapper.aligned(a, b)) == small
+
+
 def test_nothing_beside_the_body_container_is_lost():
     words = ("alpha", "beta", "gamma", "delta")
     inner = "<div id=content><h1>Title {0}</h1><p>Lead {0}</p><div class=entry>{1}</div><p>End {0}</p></div>"
