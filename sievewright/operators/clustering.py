@@ -33,33 +33,62 @@ def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.round(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0), 12)
 
 
-def _farthest(x: np.ndarray, of_x: np.ndarray, y: np.ndarray, of_y: np.ndarray, cells: int) -> np.ndarray:
-    """farthest, before it is brought to twelve places."""
-    starts = np.flatnonzero(np.r_[True, of_y[1:] != of_y[:-1]])
-    rows = max(1, cells // len(y))
-    # One product gives |a|^2 + |b|^2 - 2ab.
-    x = np.c_[-2 * x, (x * x).sum(1), np.ones(len(x))]
-    y = np.ascontiguousarray(np.c_[y, np.ones(len(y)), (y * y).sum(1)].T)
-
-    def strip(k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        d = x[k : k + rows] @ y
-        d = np.maximum.reduceat(d, first, axis=0) if len(first) < len(own) else d
-        return own[first], np.maximum.reduceat(d, starts, axis=1) if len(starts) < len(of_y) else d
-
-    if len(x) <= rows:
-        return strip(0, of_x)[1]
-    out = np.full((of_x[-1] + 1, len(starts)), -np.inf)
-    for k in range(0, len(x), rows):
-        own, d = strip(k, of_x[k : k + rows])
-        out[own] = np.maximum(out[own], d)
+#: A member of each cluster at a time is compared, as long as so many clusters have that many; then the rest of a cluster.
+LAYER_CLUSTERS = 64
+
+
+def _pieces(rows: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+    """rows of clusters of these sizes, the largest first, as (from cluster, to cluster, rows): one row of each of them, or rows of one."""
+    starts, out, k = np.cumsum(sizes) - sizes, [], 0
+    while (n := int(np.count_nonzero(sizes > k))) and (not k or n >= LAYER_CLUSTERS):
+        out.append((0, n, rows[starts[:n] + k]))
+        k += 1
+    for c in range(n):
+        rest = rows[starts[c] + k : starts[c] + sizes[c]]
+        out += [(c, c + 1, rest[lo : lo + 1024]) for lo in range(0, len(rest), 1024)]
     return out
 
 
-def farthest(x: np.ndarray, of_x: np.ndarray, y: np.ndarray, of_y: np.ndarray, cells: int = 1 << 22) -> np.ndarray:
-    """The largest squared distance between the members of each cluster of x and each of y. of_x, of_y: sorted numbers of the
-    rows' clusters, from 0. Worked on in strips of rows, so that no matrix of all rows is made."""
-    return np.round(np.maximum(_farthest(x, of_x, y, of_y, cells), 0), 12)
+def _sides(x: np.ndarray, of_x: np.ndarray, y: np.ndarray, of_y: np.ndarray) -> tuple[list, list]:
+    """The pieces of rows x and y of clusters of sizes of_x and of_y, so that one product gives |a|^2 + |b|^2 - 2ab."""
+    return _pieces(np.c_[-2 * x, (x * x).sum(1), np.ones(len(x))], of_x), _pieces(np.c_[y, np.ones(len(y)), (y * y).sum(1)], of_y)
+
+
+def _farthest(xs: list, ys: list, lo: int, hi: int, many: int) -> np.ndarray:
+    """The largest squared distance between the members of each of the clusters lo to hi of one side's pieces and each of the many
+    of the other's, before it is brought to twelve places."""
+    out = np.full((hi - lo, many), -np.inf)
+    for a, b, u in xs:
+        p, q = max(a, lo), min(b, hi)
+        if p >= q:
+            continue
+        u = u[p - a : q - a] if len(u) == b - a else u
+        for c, d, v in ys:
+            far = u @ v.T
+            far = far.max(axis=0, keepdims=True) if len(u) > q - p else far
+            far = far.max(axis=1, keepdims=True) if len(v) > d - c else far
+            part = out[p - lo : q - lo, c:d]
+            np.maximum(part, far, out=part)
+    return out
+
+
+def _largest_first(number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows sorted by the number of their cluster, from 0: their order with the largest clusters first, and those clusters and sizes."""
+    sizes = np.bincount(number)
+    order = np.argsort(-sizes, kind="stable")
+    return np.argsort(-sizes[number], kind="stable"), order, sizes[order]
+
+
+def farthest(x: np.ndarray, number: np.ndarray, cells: int = 1 << 20) -> np.ndarray:
+    """The largest squared distance between the members of each two clusters of x. number: the rows' sorted clusters, from 0.
+    Worked on in strips of clusters, so that no matrix of all rows is made."""
+    rows, order, sizes = _largest_first(number)
+    sides, n = _sides(x[rows], sizes, x[rows], sizes), len(sizes)
+    out, step = np.empty((n, n)), max(1, cells // n)
+    for lo in range(0, n, step):
+        far = _farthest(*sides, lo, min(n, lo + step), n)
+        out[np.ix_(order[lo : lo + step], order)] = np.round(np.maximum(far, 0), 12)
+    return out
 
 
 def agglomerate(d: np.ndarray, limit: float) -> np.ndarray:
@@ -98,7 +127,7 @@ def complete_linkage(vectors: np.ndarray, limit: float) -> np.ndarray:
     return agglomerate(squares(vectors, vectors), limit * limit) if len(vectors) else np.arange(0)
 
 
-#: Rows of a block in pairwise products, which are made in strips of 32 MB.
+#: Rows of a block in pairwise products, which are made in strips of 8 or 32 MB.
 BLOCK_ROWS = 4096
 #: Clusters, and rows in them, of a component that one task agglomerates.
 TASK_CLUSTERS, TASK_ROWS = 2048, 16384
@@ -115,13 +144,16 @@ def _vectors(pdf: pd.DataFrame) -> np.ndarray:
     return unit_rows(np.stack([np.asarray(v, np.float64) for v in pdf["embedding"]])) if len(pdf) else np.zeros((0, 1))
 
 
-def _block_pairs(rows: DataFrame, by: str, keys: list[str], blocks: DataFrame | int, own: bool | None = None) -> DataFrame:
-    """rows once for each pair of blocks that their own block, a hash of column `by`, is in: _b, the block, and _p, the pair.
-    own: only a block's pair with itself, or only its pairs with others."""
+def _dealt(rows: DataFrame, by: str, keys: list[str], blocks: DataFrame | int) -> DataFrame:
+    """rows with _b, their block by a hash of column `by`, and _n, how many blocks their key has."""
     rows = rows.withColumn("_n", F.lit(blocks)) if isinstance(blocks, int) else rows.join(blocks.withColumnRenamed("blocks", "_n"), keys)
-    dealt = rows.withColumn("_b", F.pmod(F.xxhash64(by), F.col("_n")).cast("int"))
-    others = F.array("_b") if own else F.sequence(F.lit(0), F.col("_n").cast("int") - 1)
-    others = F.array_remove(others, F.col("_b")) if own is False else others
+    return rows.withColumn("_b", F.pmod(F.xxhash64(by), F.col("_n")).cast("int"))
+
+
+def _block_pairs(dealt: DataFrame, own: bool = True) -> DataFrame:
+    """dealt rows once for each pair of blocks that their own block is in, _p; own: its pair with itself too."""
+    others = F.sequence(F.lit(0), F.col("_n").cast("int") - 1)
+    others = others if own else F.array_remove(others, F.col("_b"))
     pairs = F.transform(others, lambda k: F.struct(F.least(F.col("_b"), k).alias("i"), F.greatest(F.col("_b"), k).alias("j")))
     return dealt.withColumn("_p", F.explode(pairs)).drop("_n")
 
@@ -139,13 +171,24 @@ def _blocks(rows: DataFrame, keys: tuple[str, ...]) -> tuple[int, int]:
     return max(1, -(-(largest or 0) // BLOCK_ROWS)), many
 
 
-def _near_pairs(rows: DataFrame, limit: float, keys: tuple[str, ...], blocks: int | None, pick: Callable[[np.ndarray], tuple], own: bool | None = None) -> DataFrame:
-    """(a, b, keys) of the pairs of ids of one key that pick chooses from a block pair's matrix of what is nearer than limit."""
+def _near(x: np.ndarray, y: np.ndarray, limit: float) -> np.ndarray:
+    """Which rows of x and y are nearer than limit, made in strips."""
+    strip = max(1, (1 << 22) // len(y))
+    return np.concatenate([squares(x[k : k + strip], y) < limit * limit for k in range(0, len(x), strip)])
+
+
+def similar_pairs(rows: DataFrame, cosine_above: float, blocks: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, keys) of `id` pairs of one key whose embeddings are nearer than the threshold's distance, by blocked matrix products.
+
+    Rows are dealt into blocks by a hash, as many as keep the largest key's blocks near BLOCK_ROWS; each block pair is one
+    group that two blocks go to, so a row is sent as often as there are blocks and no task holds more than two of them.
+    """
     ship(rows.sparkSession)
+    limit = math.sqrt(max(0.0, 2 - 2 * cosine_above))
     usable = rows.where("embedding is not null").select("id", "embedding", *keys)
     most, many = _blocks(usable, keys)
     blocks = blocks or most
-    sent = _apart(_block_pairs(usable, "id", list(keys), blocks, own), [*keys, "_p"], many * (blocks if own else blocks * (blocks + 1) // 2))
+    sent = _apart(_block_pairs(_dealt(usable, "id", list(keys), blocks)), [*keys, "_p"], many * (blocks * (blocks + 1) // 2))
     kinds = {f.name: f.dataType.simpleString() for f in usable.schema.fields}
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -154,25 +197,14 @@ def _near_pairs(rows: DataFrame, limit: float, keys: tuple[str, ...], blocks: in
         left, right = pdf[pdf["_b"] == i], pdf[pdf["_b"] == j]
         if not len(left) or not len(right):
             return pd.DataFrame({c: [] for c in ("a", "b", *keys)})
-        x, y = _vectors(left), _vectors(right)
-        strip = max(1, (1 << 22) // len(y))
-        near = np.concatenate([squares(x[k : k + strip], y) < limit * limit for k in range(0, len(x), strip)])
-        p, q = pick(np.triu(near, 1) if i == j else near)
+        near = _near(_vectors(left), _vectors(right), limit)
+        p, q = np.nonzero(np.triu(near, 1) if i == j else near)
         a, b = left["id"].to_numpy()[p], right["id"].to_numpy()[q]
         return pd.DataFrame({"a": _plain(np.minimum(a, b)), "b": _plain(np.maximum(a, b)), **{k: _plain([pdf[k].iloc[0]] * len(a)) for k in keys}})
 
     return sent.groupBy(*keys, "_p").applyInPandas(work, ", ".join([f"a {kinds['id']}", f"b {kinds['id']}", *(f"{k} {kinds[k]}" for k in keys)]))
 
 
-def similar_pairs(rows: DataFrame, cosine_above: float, blocks: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(a, b, keys) of `id` pairs of one key whose embeddings are nearer than the threshold's distance, by blocked matrix products.
-
-    Rows are dealt into blocks by a hash, as many as keep the largest key's blocks near BLOCK_ROWS; each block pair is one
-    group that two blocks go to, so a row is sent as often as there are blocks and no task holds more than two of them.
-    """
-    return _near_pairs(rows, math.sqrt(max(0.0, 2 - 2 * cosine_above)), keys, blocks, np.nonzero)
-
-
 def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs that join the rows and columns of a matrix as all its pairs do, fewer than it has rows and columns."""
     rows, columns = np.ones(near.shape[0], bool), np.ones(near.shape[1], bool)
@@ -218,17 +250,41 @@ def _by_cluster(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _vectors(pdf), number, names
 
 
-def _links_across(rows: DataFrame, limit: float, keys: tuple[str, ...], blocks: int, groups: int, kind: str) -> DataFrame:
+def _packed(dealt: DataFrame, keys: list[str], groups: int, kind: str) -> DataFrame:
+    """A row for each block of dealt rows (id, embedding, cluster and others), so that blocks are sent as few large values: their
+    clusters, the largest first, with their sizes and the unit vectors of their rows as bytes."""
+    of = [*keys, "_b", *(c for c in dealt.columns if c not in ("id", "embedding", "cluster", "_b", *keys))]
+    kinds = {f.name: f.dataType.simpleString() for f in dealt.schema.fields}
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, number, names = _by_cluster(pdf)
+        rows, order, sizes = _largest_first(number)
+        bytes_ = {"sizes": [sizes.astype(np.int64).tobytes()], "vectors": [x[rows].tobytes()]}
+        return pd.DataFrame({**{c: _plain(pdf[c].iloc[:1]) for c in of}, "names": _plain([names[order]]), **bytes_})
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in of), f"names array<{kind}>", "sizes binary", "vectors binary"])
+    return _apart(dealt, [*keys, "_b"], groups).groupBy(*of).applyInPandas(work, schema)
+
+
+def _unpacked(pair: pd.DataFrame, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(vectors, sizes of clusters, clusters) of one of a pair's packed blocks; none if no row is in it."""
+    for k in np.flatnonzero(pair["_b"] == block):
+        sizes = np.frombuffer(pair["sizes"].iloc[k], np.int64)
+        return np.frombuffer(pair["vectors"].iloc[k]).reshape(sizes.sum(), -1), sizes, np.asarray(pair["names"].iloc[k])
+
+
+def _links_across(rows: DataFrame, limit: float, keys: tuple[str, ...], blocks: int, many: int, kind: str) -> DataFrame:
     """(a, b): pairs of clusters of rows (id, embedding, cluster, keys) in different blocks that have members nearer than limit, as many
     as join them as all such pairs do. Clusters that are known to be linked aren't compared again."""
-    sent = _apart(_block_pairs(rows, "id", list(keys), blocks, False), [*keys, "_p"], groups)
+    packed = _packed(_dealt(rows, "id", list(keys), blocks), list(keys), many * blocks, kind)
+    sent = _apart(_block_pairs(packed, False), [*keys, "_p"], many * blocks * (blocks - 1) // 2)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["_p"].iloc[0]["i"], pdf["_p"].iloc[0]["j"]
-        left, right = pdf[pdf["_b"] == i], pdf[pdf["_b"] == j]
-        if not len(left) or not len(right):
+        left, right = _unpacked(pdf, pdf["_p"].iloc[0]["i"]), _unpacked(pdf, pdf["_p"].iloc[0]["j"])
+        if left is None or right is None:
             return pd.DataFrame({"a": [], "b": []})
-        (x, of_x, a), (y, of_y, b) = _by_cluster(left), _by_cluster(right)
+        (x, of_x, a), (y, of_y, b) = left, right
+        of_x, of_y = np.repeat(np.arange(len(a)), of_x), np.repeat(np.arange(len(b)), of_y)
         linked, lo, strip = np.zeros((len(a), len(b)), bool), 0, 64
         while lo < len(x):
             own = of_x[lo : lo + strip]
@@ -243,6 +299,31 @@ def _links_across(rows: DataFrame, limit: float, keys: tuple[str, ...], blocks:
     return sent.groupBy(*keys, "_p").applyInPandas(work, f"a {kind}, b {kind}")
 
 
+def reached(near: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix the first row that its links reach."""
+    label, open_ = np.arange(len(near)), np.ones(len(near), bool)
+    for start in range(len(near)):
+        todo = [start] if open_[start] else []
+        open_[start] = False
+        while todo:
+            met = np.flatnonzero(near[todo.pop()] & open_)
+            open_[met], label[met] = False, start
+            todo += met.tolist()
+    return label
+
+
+def _block_components(rows: DataFrame, limit: float, keys: tuple[str, ...], blocks: int, many: int, kind: str) -> DataFrame:
+    """(id, component) over the links inside each block of rows (id, embedding, keys)."""
+    sent = _apart(_dealt(rows, "id", list(keys), blocks), [*keys, "_b"], many * blocks)
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        x, names = _vectors(pdf), pdf["id"].to_numpy()
+        return pd.DataFrame({"id": pd.Series(names, dtype=names.dtype), "component": pd.Series(names[reached(_near(x, x, limit))], dtype=names.dtype)})
+
+    return sent.groupBy(*keys, "_b").applyInPandas(work, f"id {kind}, component {kind}")
+
+
 def near_components(rows: DataFrame, cosine_above: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """rows (id, embedding, keys; no null embedding) as (id, component): the least id that links of similar_pairs reach.
 
@@ -250,11 +331,11 @@ def near_components(rows: DataFrame, cosine_above: float, keys: tuple[str, ...]
     """
     limit, kind = math.sqrt(max(0.0, 2 - 2 * cosine_above)), rows.schema["id"].dataType.simpleString()
     blocks, many = _blocks(rows, keys)
-    own = components(rows, cut(_near_pairs(rows, limit, keys, blocks, _forest, True).select("a", "b")))
+    own = cut(_block_components(rows, limit, keys, blocks, many, kind))
     if blocks == 1:
         return own
     found = rows.join(own, "id").withColumnRenamed("component", "cluster")
-    across = cut(_links_across(found, limit, keys, blocks, many * blocks * (blocks - 1) // 2, kind))
+    across = cut(_links_across(found, limit, keys, blocks, many, kind))
     whole = components(own.select(F.col("component").alias("id")).distinct(), across)
     return own.withColumnRenamed("component", "_own").join(whole.select(F.col("id").alias("_own"), "component"), "_own").select("id", "component")
 
@@ -264,7 +345,7 @@ def _finished(rows: DataFrame, limit: float, kind: str) -> DataFrame:
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         x, number, names = _by_cluster(pdf)
-        label = agglomerate(farthest(x, number, x, number), limit * limit)
+        label = agglomerate(farthest(x, number), limit * limit)
         return pd.DataFrame({"id": _plain(pdf.sort_values(["cluster", "id"])["id"]), "cluster": _plain(names[label[number]])})
 
     return rows.groupBy("component").applyInPandas(work, f"id {kind}, cluster {kind}")
@@ -275,35 +356,33 @@ def _lowest(d: np.ndarray, most: int) -> float:
     return float(np.partition(d, most)[most]) if len(d) > most else math.inf
 
 
-def _links(rows: DataFrame, limit: float, kind: str) -> DataFrame:
+def _links(rows: DataFrame, sizes: DataFrame, limit: float, kind: str) -> DataFrame:
     """(component, a, b, d): pairs of clusters of rows (id, cluster, embedding, component) whose farthest members are nearer than limit,
-    a < b. Of many, a block pair lists those up to a bound, so that a component has not many more than a task merges, or a cluster
+    a < b. sizes: the components' _rows and _clusters. Of many, a block pair lists those up to a bound, so that a component has not many more than a task merges, or a cluster
     LEVEL_LINKS; it also gives its bound, in a row with a = b, infinite if it lists all. Whole clusters are dealt into blocks."""
-    sizes = cut(rows.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"), F.count_distinct("cluster").alias("_clusters")))
-    pairs = sizes.agg(F.sum(F.expr("blocks * (blocks + 1) div 2"))).first()[0]
-    sent = _apart(_block_pairs(rows, "cluster", ["component"], sizes), ["component", "_p"], pairs)
-    per, ties, cells = LEVEL_LINKS, TASK_LINKS, 1 << 22
+    sizes = sizes.select("component", F.ceil(F.col("_rows") / BLOCK_ROWS).alias("blocks"), "_clusters")
+    blocks, pairs = sizes.agg(F.sum("blocks"), F.sum(F.expr("blocks * (blocks + 1) div 2"))).first()
+    packed = _packed(_dealt(rows, "cluster", ["component"], sizes), ["component"], blocks, kind)
+    sent = _apart(_block_pairs(packed), ["component", "_p"], pairs)
+    per, ties, cells = LEVEL_LINKS, TASK_LINKS, 1 << 20
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["_p"].iloc[0]["i"], pdf["_p"].iloc[0]["j"]
         component, clusters = pdf["component"].iloc[0], int(pdf["_clusters"].iloc[0])
-        left, right = pdf[pdf["_b"] == i], pdf[pdf["_b"] == j]
-        if not len(left) or not len(right):
+        left, right = _unpacked(pdf, i), _unpacked(pdf, j)
+        if left is None or right is None:
             return pd.DataFrame({"component": [], "a": [], "b": [], "d": []})
-        x, of_x, a = _by_cluster(left)
-        y, of_y, b = _by_cluster(right) if i < j else (x, of_x, a)
+        (x, of_x, a), (y, of_y, b) = left, right
         aim = max(per, 1.6 * ties / clusters)
         most = math.ceil(aim * len(a) * len(b) / (clusters if i < j else 2 * clusters))
         p, q, d, bound = np.zeros(0, int), np.zeros(0, int), np.zeros(0), math.inf
-        starts = np.searchsorted(of_x, np.arange(len(a) + 1))
-        lo = 0
-        while lo < len(a):
-            hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + max(1, cells // len(y)), "right")) - 1)
-            far = _farthest(x[starts[lo] : starts[hi]], of_x[starts[lo] : starts[hi]] - lo, y, of_y, cells)
-            r, c = np.nonzero(far < min(bound, limit * limit) + 1e-11)
+        sides, step = _sides(x, of_x, y, of_y), max(1, cells // len(b))
+        for lo in range(0, len(a), step):
+            far = _farthest(*sides, lo, min(len(a), lo + step), len(b))
+            r, c = np.divmod(np.flatnonzero(far < min(bound, limit * limit) + 1e-11), len(b))
             far = np.round(np.maximum(far[r, c], 0), 12)
             near = (far < limit * limit) & (far <= bound) & ((i < j) | (c > r + lo))
-            p, q, d, lo = np.r_[p, r[near] + lo], np.r_[q, c[near]], np.r_[d, far[near]], hi
+            p, q, d = np.r_[p, r[near] + lo], np.r_[q, c[near]], np.r_[d, far[near]]
             bound = min(bound, _lowest(d, most))
             keep = np.flatnonzero(d <= bound)
             if len(keep) > most + ties:  # of very many equal distances any may wait for the next level
@@ -380,9 +459,9 @@ def _renamed(rows: DataFrame, into: DataFrame) -> DataFrame:
     return rows.join(into, "cluster", "left").withColumn("cluster", F.coalesce("into", "cluster")).drop("into")
 
 
-def _level(rows: DataFrame, limit: float, kind: str) -> tuple[DataFrame, DataFrame]:
+def _level(rows: DataFrame, sizes: DataFrame, limit: float, kind: str) -> tuple[DataFrame, DataFrame]:
     """rows (id, cluster, embedding, component) after all merges up to each component's level, and the components whose level is limit."""
-    found = cut(_links(rows, limit, kind))
+    found = cut(_links(rows, sizes, limit, kind))
     level = cut(found.where("a = b").groupBy("component").agg(F.min("d").alias("level")))
     links = found.where("a < b").join(level, "component").where("d <= level").drop("level")
     while True:
@@ -407,7 +486,7 @@ def linkage_clusters(rows: DataFrame, p: Clustering = Clustering(), keys: tuple[
     limit = math.sqrt(max(0.0, 2 - 2 * p.cosine))
     usable = rows.where("embedding is not null").select("id", "embedding", *keys)
     alike = cut(usable.groupBy(*keys, "embedding").agg(F.min("id").alias("_first"), F.count("*").alias("_n")))
-    distinct = cut(alike.select(F.col("_first").alias("id"), "embedding", *keys))
+    distinct = alike.select(F.col("_first").alias("id"), "embedding", *keys)
     comp = near_components(distinct, p.cosine, keys)
     if p.max_component is not None:
         largest = comp.groupBy("component").count().agg(F.max("count")).first()[0] or 0
@@ -416,17 +495,19 @@ def linkage_clusters(rows: DataFrame, p: Clustering = Clustering(), keys: tuple[
     active = cut(distinct.select("id", "embedding").join(comp, "id").withColumn("cluster", F.col("id")))
     done = []
     while True:
-        size = active.groupBy("component").agg(F.count("*").alias("_rows"), F.count_distinct("cluster").alias("_clusters"))
-        sized = active.join(size, "component")
+        size = cut(active.groupBy("component").agg(F.count("*").alias("_rows"), F.count_distinct("cluster").alias("_clusters")))
         small = f"_clusters <= {TASK_CLUSTERS} and _rows <= {TASK_ROWS}"
-        done.append(cut(_finished(sized.where(small).drop("_rows", "_clusters"), limit, kind)))
-        active = cut(sized.where(f"not ({small})").drop("_rows", "_clusters"))
-        if active.isEmpty():
+        ends, goes = (r or 0 for r in size.agg(F.count_if(F.expr(small)), F.count_if(F.expr(f"not ({small})"))).first())
+        if ends:
+            done.append(cut(_finished(active.join(size.where(small).select("component"), "component"), limit, kind)))
+        if not goes:
             break
-        merged, over = _level(active, limit, kind)
+        size = size.where(f"not ({small})")
+        active = cut(active.join(size.select("component"), "component")) if ends else active
+        merged, over = _level(active, size, limit, kind)
         done.append(merged.join(over, "component").select("id", "cluster"))
         active = merged.join(over, "component", "left_anti")
-    found = done[0]
+    found = done[0] if done else active.select("id", "cluster")
     for part in done[1:]:
         found = found.unionByName(part)
     if alike.where("_n > 1").isEmpty():

@@ -458,3 +458,30 @@ def test_identities_of_a_large_component_need_few_passes(spark, monkeypatch):
     monkeypatch.setattr(clustering, "_block_pairs", lambda *a: passes.append(a) or deal(*a))
     assert sorted((r["id"], r["identity_cluster"]) for r in clustering.cluster_identities(rows, Clustering(cosine=0.1)).collect()) == whole
     assert len(passes) <= 4 and len({c for _, c in whole}) > 2
+
+
+def test_blocks_are_sent_packed(spark, monkeypatch):
+    """A pass over the pairs of blocks sends a row for each block, not each vector once for every block."""
+    for name, value in {"BLOCK_ROWS": 40, "TASK_CLUSTERS": 2}.items():
+        monkeypatch.setattr(clustering, name, value)
+    sent, deal = [], clustering._block_pairs
+    monkeypatch.setattr(clustering, "_block_pairs", lambda *a: sent.append(a[0]) or deal(*a))
+    x = np.random.default_rng(4).normal(size=(120, 5))
+    rows = spark.createDataFrame([(f"r{i:03d}", v.tolist()) for i, v in enumerate(x)], "id string, embedding array<double>")
+    got = sorted((r["id"], r["cluster"]) for r in clustering.linkage_clusters(rows, Clustering(cosine=0.3)).collect())
+    label = clustering.complete_linkage(clustering.unit_rows(x), math.sqrt(1.4))
+    assert [c for _, c in got] == [f"r{k:03d}" for k in label]
+    assert len(sent) > 1 and all(s.count() <= 3 for s in sent)
+
+
+@pytest.mark.parametrize("layer", [1, 3, 64])
+def test_farthest_members_of_clusters_of_all_sizes(monkeypatch, layer):
+    monkeypatch.setattr(clustering, "LAYER_CLUSTERS", layer)
+    rng = np.random.default_rng(6)
+    for sizes in ([1], [1, 1, 1], [3, 1, 9, 2, 2], [1, 1100, 4, *[2] * 70]):
+        number = np.repeat(np.arange(len(sizes)), sizes)
+        x = clustering.unit_rows(rng.normal(size=(len(number), 3)))
+        d = clustering.squares(x, x)
+        want = [[d[np.ix_(number == a, number == b)].max() for b in range(len(sizes))] for a in range(len(sizes))]
+        for cells in (1, 5, 1 << 20):
+            assert np.allclose(clustering.farthest(x, number, cells), want, rtol=0, atol=2e-12)
