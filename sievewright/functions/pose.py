@@ -39,8 +39,8 @@ def bucket(yaw: Column, pitch: Column, t: PoseThresholds = PoseThresholds()) ->
 
 
 def head_pose(m: Column, t: PoseThresholds = PoseThresholds()) -> Column:
-    """struct<yaw, pitch, roll, pose> of a matrix; without one, straight ahead."""
+    """struct<yaw, pitch, roll, pose> of a matrix; without one, straight ahead. Null entries leave angles null, and the pose front without a yaw."""
     a = euler(m)
     zero = F.coalesce(m.isNull(), F.lit(True))
     angle = lambda n: F.when(zero, F.lit(0.0)).otherwise(a[n])
-    return F.struct(*(angle(n).alias(n) for n in ("yaw", "pitch", "roll")), F.when(zero, "front").otherwise(bucket(a["yaw"], a["pitch"], t)).alias("pose"))
+    return F.struct(*(angle(n).alias(n) for n in ("yaw", "pitch", "roll")), F.when(zero | a["yaw"].isNull(), "front").otherwise(bucket(a["yaw"], a["pitch"], t)).alias("pose"))

@@ -562,9 +562,10 @@ def f9_pose_bucket(spark, sf_dir):
 
 @query(f"WITH {sql.DIMS} SELECT id, CASE WHEN id % 2 = 0 THEN 0.0 ELSE round(30.0 * {sql.e(2)}, 4) END AS yaw, 'front' AS pose FROM d")
 def f10_null_pose(spark, sf_dir):
-    m = F.when(F.col("id") % 2 == 1, pose.rotation(F.lit(0.0), 30.0 * views.e(2), F.lit(0.0)))
+    """Even ids have no matrix. The yaw's sign stays where it rounds to zero."""
+    m = F.when(F.col("id") % 2 == 0, None).otherwise(pose.rotation(F.lit(0.0), 30.0 * views.e(2), F.lit(0.0)))
     got = views.dims(spark, sf_dir).select("id", m.alias("m")).select("id", pose.head_pose(F.col("m")).alias("p"))
-    return got.select("id", F.round("p.yaw", 4).alias("yaw"), "p.pose")
+    return got.select("id", (F.signum("p.yaw") * F.round(F.abs("p.yaw"), 4)).alias("yaw"), "p.pose")
 
 
 @query(f"{LOOKS} SELECT id, array_to_string(tags, ',') AS tags FROM k")

@@ -53,3 +53,14 @@ def test_streaming(spark, tmp_path):
         q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
         q.awaitTermination(120)
     assert spark.table("looks").count() == 2 and spark.table("windows").first()["n"] == 6
+
+
+def test_null_pose_by_sql_on_odd_ids_and_zeros(spark, tmp_path):
+    """Negative odd ids have a matrix too, an angle that rounds to zero keeps its sign, and a null vector has no angle and the default pose."""
+    given = [(-3, 0.2), (-2, 0.2), (-1, -1e-7), (1, 1e-7), (3, -1e-7), (4, -1e-7), (5, 0.0), (6, 0.1), (7, -0.3), (9, None), (10, None), (None, 0.2)]
+    rows = [(i, None if x is None else [0.0, 0.0, x] + [0.0] * 61, 0) for i, x in given]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = [tuple(r) for r in QUERIES["f10_null_pose"](spark, str(tmp_path)).select("id", "yaw", "pose").collect()]
+    assert plain(got) == plain(con.execute(f"SELECT id, yaw, pose FROM ({ORACLES['f10_null_pose']})").fetchall())
